@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "cut"))
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: its lineage ends there.
+
+    A result that several later steps use is computed once, and a lost executor costs only a re-read.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
