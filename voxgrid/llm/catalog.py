@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxgrid.llm import pairs
+from voxgrid.llm import pairs, residue
 
-QUERIES = {"p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs}
+QUERIES = {"p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs, "p3_found": residue.p3_found}
 ORACLE = {**pairs.ORACLE}
