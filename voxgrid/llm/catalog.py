@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from voxgrid.llm import pairs, residue
+from voxgrid.llm import lookalike, pairs, residue
 
-QUERIES = {"p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs, "p3_found": residue.p3_found}
+QUERIES = {
+    "p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs,
+    "p3_found": residue.p3_found,
+    "p4_found": lookalike.p4_found, "p4_forms": lookalike.p4_forms,
+}
 ORACLE = {**pairs.ORACLE}

@@ -26,7 +26,7 @@ STRICT = (
 #: A name in square brackets may be an emote or a label; it counts where the same name stands in a strict syntax.
 BARE = r"\[[\p{L}_][\p{L}\p{N}_.]{0,40}\]"
 #: What a missing value or an unfilled format prints.
-RAW = r"\[object Object\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]?|%[sd](?![\p{L}\p{N}])|(?<![A-Za-z0-9_.])(?:undefined|null|None|NaN|nan|nil)(?![A-Za-z0-9_])"
+RAW = r"\[object Object\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]?|(?<![0-9])%[sd](?![A-Za-z0-9])|(?<![A-Za-z0-9_.])(?:undefined|null|None|NaN|nan|nil)(?![A-Za-z0-9_])"
 SLOT = f"{RAW}|{STRICT}|{BARE}"
 
 #: Wording of notices by servers, programs and access checks, and of editing prompts.
