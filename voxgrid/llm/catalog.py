@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from voxgrid.llm import lookalike, pairs, residue
+from voxgrid.llm import lookalike, pairs, residue, stuffing
 
 QUERIES = {
     "p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs,
     "p3_found": residue.p3_found,
     "p4_found": lookalike.p4_found, "p4_forms": lookalike.p4_forms,
+    "p10_found": stuffing.p10_found, "p10_scores": stuffing.p10_scores,
 }
 ORACLE = {**pairs.ORACLE}
