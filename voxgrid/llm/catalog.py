@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from voxgrid.llm import lookalike, pairs, residue, stuffing
+from voxgrid.llm import lookalike, packing, pairs, residue, stuffing, tokenizer
 
 QUERIES = {
     "p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs,
     "p3_found": residue.p3_found,
     "p4_found": lookalike.p4_found, "p4_forms": lookalike.p4_forms,
+    "p8_ids": tokenizer.p8_ids,
+    "p9_containers": packing.p9_containers, "p9_usage": packing.p9_usage,
     "p10_found": stuffing.p10_found, "p10_scores": stuffing.p10_scores,
 }
 ORACLE = {**pairs.ORACLE}
