@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from voxgrid.llm import lookalike, packing, pairs, residue, stuffing, tokenizer
+from voxgrid.llm import lookalike, packing, pairs, residue, stuffing, tokenizer, truncation
 
 QUERIES = {
     "p1_found": pairs.p1_found, "p1_pairs": pairs.p1_pairs,
     "p3_found": residue.p3_found,
     "p4_found": lookalike.p4_found, "p4_forms": lookalike.p4_forms,
+    "p5_found": truncation.p5_found, "p5_rates": truncation.p5_rates, "p5_limits": truncation.p5_limits,
     "p8_ids": tokenizer.p8_ids,
     "p9_containers": packing.p9_containers, "p9_usage": packing.p9_usage,
     "p10_found": stuffing.p10_found, "p10_scores": stuffing.p10_scores,
