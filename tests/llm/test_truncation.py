@@ -45,7 +45,7 @@ def test_hazards_against_loop(spark):
     count = Counter(data)
     for (s, n), r in got.items():
         near = sum(k for (t, m), k in count.items() if t == s and m != n and abs(m - n) <= NEAR)
-        expected = max((near + 0.5) / (2 * NEAR), 0.02)
+        expected = max((near + 0.5) / (NEAR + min(n - 1, NEAR)), 0.02)
         assert r.n == count[s, n] and r.reach == sum(k for (t, m), k in count.items() if t == s and m >= n)
         assert math.isclose(r.expected, expected) and math.isclose(r.p, math.exp(-(r.n * math.log(r.n / expected) - r.n + expected)))
     assert [k for k, r in got.items() if r.significant] == [("a", 140)]

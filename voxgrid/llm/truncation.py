@@ -85,7 +85,7 @@ def length_hazards(df: DataFrame) -> DataFrame:
     n = n.withColumn("reach", F.sum("n").over(by.rowsBetween(0, W.unboundedFollowing)))
     sides = [by.rangeBetween(-NEAR, -1), by.rangeBetween(1, NEAR)]
     total = lambda c: sum((F.coalesce(F.sum(c).over(w), F.lit(0)) for w in sides[1:]), F.coalesce(F.sum(c).over(sides[0]), F.lit(0)))
-    n = n.withColumn("near", total("n")).withColumn("steps", F.lit(2 * NEAR))
+    n = n.withColumn("near", total("n")).withColumn("steps", NEAR + F.least(F.col("length") - 1, F.lit(NEAR)))
     hazard = F.col("n") / F.col("reach")
     # texts that end nearby, for each step that texts of this length could have taken
     expected = F.greatest((F.col("near") + 0.5) / F.col("steps"), F.lit(0.02))
