@@ -35,6 +35,9 @@ ENDS, NEVER = 0.2, 0.01
 #: Places that a context must have to show a cut by itself.
 SURE = 12
 
+#: Characters of a text's end that its patterns see: more than any mark, tag or address fragment needs.
+TAIL = 80
+_BLANKS = " \\t\\n\\r\u3000\u00a0"
 _BROKEN = r"(?:�|</?[A-Za-z][A-Za-z]{0,9}[^<>]{0,12}|<|&[A-Za-z#][A-Za-z0-9]{0,7})\s*$"
 _MORE = r"(?:…+|\.{2,}|。{2,})\s*[\[(（【]?\s*(?:全文|展开(?:全文)?|查看(?:全文|更多)|阅读(?:全文|更多)|(?i:(?:read |see |show )?more))\s*[\])）】]?\s*$"
 _DOTS = r"\s*(?:…+|\.{2,}|。{3,})\s*$"
@@ -50,17 +53,18 @@ def _plain(text: Column) -> Column:
 
 def ends(df: DataFrame) -> DataFrame:
     """df with what the end of its text looks like: broken, more, dots, base length, closed, and its contexts."""
-    text = F.regexp_replace("text", r"[\s\p{Z}]+$", "")
-    df = df.withColumn("t", text).where("t <> ''")
+    # patterns look at the tail only; what stands before it decides nothing but the length
+    df = df.withColumn("t", F.expr(f"trim(trailing '{_BLANKS}' from text)")).where("t <> ''")
+    df = df.withColumn("full", F.length("t")).withColumn("t", F.expr(f"right(t, {TAIL})"))
     df = df.withColumn("broken", F.col("t").rlike(_BROKEN)).withColumn("more", F.col("t").rlike(_MORE)).withColumn("dots", F.col("t").rlike(_DOTS))
     base = F.when(F.col("more"), F.regexp_replace("t", _MORE, "")).when(F.col("dots"), F.regexp_replace("t", _DOTS, "")).otherwise(F.col("t"))
-    df = df.withColumn("base", base).withColumn("length", F.length("base")).withColumn("closed", F.col("base").rlike(_CLOSED) | (F.col("base") == ""))
+    df = df.withColumn("base", base).withColumn("length", F.col("full") - F.length("t") + F.length("base")).withColumn("closed", F.col("base").rlike(_CLOSED) | (F.col("base") == ""))
     last = F.element_at(F.split(_plain(F.expr("right(base, 40)")), _CLAUSE), -1)
     df = df.withColumn("last", F.when(~F.col("closed"), F.ltrim(last)))
     short = F.when(F.length("last").between(1, CONTEXTS[-1] - 1), F.concat(F.lit("^"), "last"))
     cs = [F.when(F.length("last") >= k, F.expr(f"right(last, {k})")) for k in CONTEXTS]
     cs[-1] = F.coalesce(cs[-1], short)
-    return df.select("*", *[c.alias(f"c{k}") for c, k in zip(cs, CONTEXTS, strict=True)]).drop("t", "base", "last")
+    return df.select("*", *[c.alias(f"c{k}") for c, k in zip(cs, CONTEXTS, strict=True)]).drop("t", "full", "base", "last")
 
 
 def context_ends(texts: DataFrame, wanted: DataFrame) -> DataFrame:
