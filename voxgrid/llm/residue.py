@@ -61,7 +61,7 @@ LOREM = (
     "reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
     "culpa qui officia deserunt mollit anim id est laborum"
 )
-FILLER_WORDS = r"占位|示例|样例|文字|文本|正文|内容|标题|测试|text|test|sample|dummy|xxx"
+FILLER_WORDS = r"(?=[占示样文正内标测tsdx])(?:占位|示例|样例|文字|文本|正文|内容|标题|测试|text|test|sample|dummy|xxx)"
 #: Ends of sentences, and of the parts of a sentence. A dot inside a name is neither, nor is a mark of a slot's syntax.
 _SENTENCE = r"(?:[。！？；…\r\n]|(?<!&lt|&gt);|(?<!#REF|#VALUE|#DIV/0)!(?!--)|(?<!#NAME)\?)+|\.(?=\s|$)|\.{2,}"
 _PART = rf"[，,]|{_SENTENCE}"

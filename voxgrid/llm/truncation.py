@@ -43,12 +43,12 @@ _MORE = r"(?:…+|\.{2,}|。{2,})\s*[\[(（【]?\s*(?:全文|展开(?:全文)?|
 _DOTS = r"\s*(?:…+|\.{2,}|。{3,})\s*$"
 _CLAUSE = r"[。！？!?～~…；;，,、\r\n#\]\p{So}]+|\.(?=\s|$)|\.{2,}"
 #: Ends that a writer leaves: closing marks, symbols and emotes, emoji, tags, addresses.
-_CLOSED = r"(?:[。．！？!?～~.；;：:\])）】」』”\"'》>*^_=|/\\-]|\p{So}|\p{Sk}|\p{Cs}|️|‍|#[^#\s]{1,30}#?|https?://\S+|www\.\S+|\S+@\S+)\s*$"
+_CLOSED = r"(?:[。．！？!?～~.；;：:\])）】」』”\"'》>*^_=|/\\-]|\p{So}|\p{Sk}|\p{Cs}|️|‍|#[^#\s]{1,30}#?|(?:https?://|www\.)[!-~]+|[A-Za-z0-9._+-]@[A-Za-z0-9.-]+)\s*$"
 
 
 def _plain(text: Column) -> Column:
     """Text as clause statistics see it: lower case, numbers and codes as one sign."""
-    return F.regexp_replace(F.lower(F.regexp_replace(text, "[A-Z]{2,3}[0-9]{3,}", "0")), "[0-9]+", "0")
+    return F.lower(F.regexp_replace(text, "(?:[A-Z]{2,3}(?=[0-9]{3}))?[0-9]+", "0"))
 
 
 def ends(df: DataFrame) -> DataFrame:
@@ -69,9 +69,9 @@ def ends(df: DataFrame) -> DataFrame:
 
 def context_ends(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(c, places, share): of the wanted contexts, how often they stand in finished clauses and how often they end one."""
-    clauses = F.split(_plain(F.col("text")), _CLAUSE)
-    clauses = F.filter(F.transform(F.slice(clauses, 1, F.greatest(F.size(clauses) - 1, F.lit(0))), lambda c: F.ltrim(c)), lambda c: c != "")
-    counted = texts.select(F.explode(clauses).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    pieces = texts.select(F.split(_plain(F.col("text")), _CLAUSE).alias("p")).where(F.size("p") > 1)
+    clauses = pieces.select(F.explode(F.slice("p", 1, F.size("p") - 1)).alias("c")).select(F.ltrim("c").alias("c")).where("c <> ''")
+    counted = clauses.groupBy("c").agg(F.count("*").alias("n"))
     spots = F.concat(*[F.transform(F.regexp_extract_all("c", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda x: F.struct(x.alias("c"), F.lit(0).alias("e"))) for k in CONTEXTS])
     final = F.filter(F.array(*[F.struct(F.when(F.length("c") >= k, F.expr(f"right(c, {k})")).alias("c"), F.lit(1).alias("e")) for k in CONTEXTS]), lambda x: x.c.isNotNull())
     starts = range(1, CONTEXTS[-1])
