@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxgrid.operators.timestamps import p2_found
-from voxgrid.session import table
+from voxgrid.plans import evaluation_queries, funnel_queries, summary_queries, text_queries  # noqa: F401
+from voxgrid.plans.registry import ORACLE, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
-ORACLE: dict[str, str] = {}
+query()(p2_found)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of coded items per platform and sentiment."""
-    return table(spark, sf_dir, "coded_items", "platform", "sentiment").groupBy("platform", "sentiment").agg(F.count("*").alias("n"))
+    """Items, mean score and sentiment counts of every platform."""
+    return summary_queries.platform_stats(spark, sf_dir)
+
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
