@@ -30,7 +30,7 @@ RAW = r"\[object Object\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]?|(?<![0-9])%[sd](?![
 SLOT = rf"(?=[\[%$#{{<@_&uNn])(?:{RAW}|{STRICT}|{BARE})"
 
 #: Wording of notices by servers, programs and access checks, and of editing prompts.
-_ZH_NOTICE = "|".join([
+_ZH_NOTICES = [
     r"页面(?:不存在|走丢|已?失效|已?被?删除|找不到)", r"访问的(?:页面|内容|网页)", r"秒后(?:自动)?(?:返回|跳转)", r"服务器(?:开小差|错误|繁忙|异常|内部)",
     r"系统(?:繁忙|维护|异常|错误)", r"稍[后候]再?(?:试|重试)", r"请稍[候等]", r"正在(?:加载|跳转|验证)", r"网络(?:连接)?(?:异常|错误|超时|不给力)",
     r"检查(?:您的)?网络", r"(?:没有|无)权限(?:查看|访问)", r"访问(?:过于)?频繁", r"完成验证", r"(?:不是|非)机器人", r"拖动滑块", r"验证码",
@@ -38,9 +38,10 @@ _ZH_NOTICE = "|".join([
     r"升级(?:您的)?(?:浏览器|后访问)", r"在(?:客户端|App|APP)内?打开", r"违反(?:规定|法规)", r"暂时?无法(?:查看|访问|显示)", r"(?:帖子|内容|文章)已?(?:被)?(?:作者|管理员)?(?:删除|下架)",
     r"请求参数", r"(?:代码|错误码)\s*[:：]?\s*-?\d", r"服务(?:超时|不可用|异常)", r"(?:数据库|网关)(?:错误|超时|连接)",
     r"占位(?:文本|文字|内容)?", r"示例(?:文本|文字|内容)", r"(?:这里|此处)是?(?:正文|标题|内容)", r"(?:此处|这里)(?:输入|填写)", r"填写使用感受",
-    r"待(?:补充|完善|填写)", r"补充(?:正文|内容)", r"(?:上线|发布)前(?:删除|替换|修改)", r"标题待定", r"(?-i:TODO|FIXME|TBD)\b",
-])
+    r"待(?:补充|完善|填写)", r"补充(?:正文|内容)", r"(?:上线|发布)前(?:删除|替换|修改)", r"标题待定",
+]
 _EN_NOTICE = "|".join([
+    r"(?-i:TODO|FIXME|TBD)\b",
     r"page (?:not found|you requested|cannot be|could not be)", r"not found\b", r"could not be located", r"access (?:is )?denied", r"permission denied", r"forbidden",
     r"internal server error", r"unexpected condition", r"bad gateway", r"gateway time-?out", r"service (?:temporarily )?unavailable", r"temporarily unavailable",
     r"too many requests", r"slow down and try", r"try again later", r"establishing a database", r"(?:site|page) can.?t be reached", r"connection was (?:reset|refused)",
@@ -49,9 +50,27 @@ _EN_NOTICE = "|".join([
     r"turn it on and reload", r"browser is (?:out of date|not supported)", r"update it to continue", r"^reference [\d-]+$", r"traceback", r"keyerror|typeerror|nullpointer|stack trace|exception in",
     r"upstream [\d-]+", r"render line \d", r"text goes here", r"insert \w+ here", r"type something", r"replace before publishing", r"placeholder text", r"sample text", r"your \w+ here",
 ])
-#: A branch is tried only where it can begin: at one of the first characters of the Chinese ones, or at a word.
-_ZH_FIRST = "页访秒服系稍请正网检没无频完不非拖验登启开打支禁浏升在违暂帖内文代错数占示这此填待补上发标TFB"
-NOTICE = rf"(?=[{_ZH_FIRST}])(?:{_ZH_NOTICE})|(?<![A-Za-z])(?:{_EN_NOTICE})"
+
+
+def _by_first(branches: list[str], buckets: int = 8) -> str:
+    """One pattern whose branches are tried only where their bucket's range of first characters allows.
+
+    A branch that begins with a group of alternatives is one branch for each of them.
+    """
+    flat = []
+    for b in branches:
+        if b.startswith("(?:"):
+            end = b.index(")")
+            flat += [x.rstrip("?") + ("?" if x.endswith("?") else "") + b[end + 1 :] for x in b[3:end].split("|")]
+        else:
+            flat.append(b)
+    flat.sort()
+    size = -(-len(flat) // buckets)
+    parts = [flat[i : i + size] for i in range(0, len(flat), size)]
+    return "|".join(f"(?=[{p[0][0]}-{p[-1][0]}])(?:{'|'.join(p)})" for p in parts)
+
+
+NOTICE = rf"{_by_first(_ZH_NOTICES)}|(?=[A-Za-z])(?<![A-Za-z])(?:{_EN_NOTICE})"
 #: What pages put around their notices.
 CHROME = r"^(?:返回上一页|返回首页|刷新|重试|下载客户端|下载App|Go back|Home|Help|Terms|Retry|Reload|Refresh|Back|Home \| Help \| Terms|[-\d\s.:#|]*|Error \d+|HTTP \d+)$"
 #: Words of the usual filler passage.

@@ -41,14 +41,14 @@ _BLANKS = " \\t\\n\\r\u3000\u00a0"
 _BROKEN = r"(?:�|</?[A-Za-z][A-Za-z]{0,9}[^<>]{0,12}|<|&[A-Za-z#][A-Za-z0-9]{0,7})\s*$"
 _MORE = r"(?:…+|\.{2,}|。{2,})\s*[\[(（【]?\s*(?:全文|展开(?:全文)?|查看(?:全文|更多)|阅读(?:全文|更多)|(?i:(?:read |see |show )?more))\s*[\])）】]?\s*$"
 _DOTS = r"\s*(?:…+|\.{2,}|。{3,})\s*$"
-_CLAUSE = r"[。！？!?～~…；;，,、\r\n#\]\p{So}]+|\.(?=\s|$)|\.{2,}"
+_CLAUSE = r"[\u3001\u3002\uFF01-\uFF0F\uFF1A-\uFF1F\uFF5E\u2026!?;,~#\]\r\n\p{So}]+|\.(?=\s|$)|\.{2,}"
 #: Ends that a writer leaves: closing marks, symbols and emotes, emoji, tags, addresses.
 _CLOSED = r"(?:[。．！？!?～~.；;：:\])）】」』”\"'》>*^_=|/\\-]|\p{So}|\p{Sk}|\p{Cs}|️|‍|#[^#\s]{1,30}#?|(?:https?://|www\.)[!-~]+|[A-Za-z0-9._+-]@[A-Za-z0-9.-]+)\s*$"
 
 
 def _plain(text: Column) -> Column:
-    """Text as clause statistics see it: lower case, numbers and codes as one sign."""
-    return F.lower(F.regexp_replace(text, "(?:[A-Z]{2,3}(?=[0-9]{3}))?[0-9]+", "0"))
+    """Text as clause statistics see it: numbers and codes as one sign."""
+    return F.regexp_replace(text, "(?:[A-Z]{2,3}(?=[0-9]{3}))?[0-9]+", "0")
 
 
 def ends(df: DataFrame) -> DataFrame:
