@@ -129,11 +129,15 @@ def mentions(text: Column, dims: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """The aspects, in schema order, any of whose keywords stands in the text. dims: (id, keywords), a small schema."""
     t = F.lower(F.coalesce(text, F.lit("")))
     flags = [F.when(any_of(t, [k.lower() for k in ks]), F.lit(d)) for d, ks in dims if ks]
-    return F.array_compact(F.array(*flags))
+    return F.array_compact(F.array(*flags)).cast("array<string>")
 
 
 def aspect_votes(text: Column, dims: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """map of aspect to sentiment: every clause with a polarity votes for the aspects it mentions; only unanimous votes count."""
+    if not dims:
+        none = F.array().cast("array<string>")
+        return F.map_from_arrays(none, none)
+
     def votes(parts: Column) -> Column:
         def of(d: str) -> Column:
             said = F.array_distinct(F.transform(F.filter(parts, lambda x: F.array_contains(x.d, d)), lambda x: x.s))

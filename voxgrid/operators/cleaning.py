@@ -69,10 +69,10 @@ def greedy_duplicates(df: DataFrame, seq: str, keys: Column) -> DataFrame:
     """(seq, kept, reason) of every row: rows are taken in order of seq, and one is dropped when a kept one before it holds one of its keys.
 
     keys: array of struct(o, v). seq is unique. Only kept rows register their keys, so a dropped row
-    doesn't block others. Rounds: a row that is the first open one on all its keys is kept, open rows
+    doesn't block others. A row without a seq has no place in the order: it is kept and registers nothing. Rounds: a row that is the first open one on all its keys is kept, open rows
     that share a key with it are dropped; chains of such decisions are short. A row without keys is kept.
     """
-    pairs = df.select(F.col(seq).alias("s"), F.explode(keys).alias("k")).select("s", F.col("k.o").alias("o"), F.xxhash64("k.o", "k.v").alias("h1"), F.xxhash64(F.lit(3), "k.o", "k.v").alias("h2"))
+    pairs = df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("s"), F.explode(keys).alias("k")).select("s", F.col("k.o").alias("o"), F.xxhash64("k.o", "k.v").alias("h1"), F.xxhash64(F.lit(3), "k.o", "k.v").alias("h2"))
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int"))
     on = ["h1", "h2", "salt"]
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

@@ -30,15 +30,15 @@ def accuracy(pairs: DataFrame, *groups: str) -> DataFrame:
     hit = F.avg((F.col("gold") == F.col("pred")).cast("double"))
     rows = pairs.select("gold", "pred", *[F.coalesce(F.col(g).cast("string"), F.lit("")).alias(g) for g in groups])
     sets = rows.groupingSets([[], *[[g] for g in groups]], *groups) if groups else rows.groupBy()
-    out = sets.agg((F.grouping_id() if groups else F.lit(0)).alias("g"), F.count("*").alias("n"), hit.alias("a"))
+    out = sets.agg((F.grouping_id() if groups else F.lit(0)).alias("__g"), F.count("*").alias("__n"), hit.alias("__a"))
     n = len(groups)
     grp, seg = F.lit("all"), F.lit("")
     for i, g in enumerate(groups):
         only = (1 << n) - 1 - (1 << (n - 1 - i))
-        grp = F.when(F.col("g") == only, g).otherwise(grp)
-        seg = F.when(F.col("g") == only, F.col(g)).otherwise(seg)
-    lo, hi = S.wilson(F.col("a"), F.col("n"))
-    return out.select(grp.alias("grp"), seg.alias("segment"), "n", F.round("a", 4).alias("accuracy"), F.round(lo, 4).alias("low"), F.round(hi, 4).alias("high"))
+        grp = F.when(F.col("__g") == only, g).otherwise(grp)
+        seg = F.when(F.col("__g") == only, F.col(g)).otherwise(seg)
+    lo, hi = S.wilson(F.col("__a"), F.col("__n"))
+    return out.select(grp.alias("grp"), seg.alias("segment"), F.col("__n").alias("n"), F.round("__a", 4).alias("accuracy"), F.round(lo, 4).alias("low"), F.round(hi, 4).alias("high"))
 
 
 def class_prf(pairs: DataFrame, classes: Sequence[str] = C.SENTIMENTS) -> DataFrame:

@@ -19,7 +19,7 @@ def _text(c: Column) -> Column:
 
 def weibo(df: DataFrame, raw: str) -> DataFrame:
     """A micro-blog card: text without tags, counts, user."""
-    j = F.from_json(raw, "mblog struct<id:string,text:string,created_at:string,attitudes_count:bigint,reposts_count:bigint,comments_count:bigint,user:struct<screen_name:string>>,card_type:int,ad_marked:boolean")
+    j = F.from_json(raw, "mblog struct<id:string,text:string,created_at:string,attitudes_count:bigint,reposts_count:bigint,comments_count:bigint,user:struct<screen_name:string>>, card_type int, ad_marked boolean")
     b = df.withColumn("__j", j)
     return b.select(*df.columns, F.col("__j.mblog.id").alias("id"), F.lit("").alias("title"), T.squeeze(T.unescape(T.strip_tags(F.col("__j.mblog.text")))).alias("content"), F.col("__j.mblog.user.screen_name").alias("author"),
                     F.concat(F.lit("https://m.weibo.cn/detail/"), "__j.mblog.id").alias("url"), F.col("__j.mblog.created_at").alias("timestamp"), F.coalesce("__j.mblog.attitudes_count", F.lit(0)).alias("likes"),
