@@ -128,12 +128,14 @@ def scan_text(text: str | None, lexicon: Mapping[str, float] = C.LEXICON, degree
 def mentions(text: Column, dims: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """The aspects, in schema order, any of whose keywords stands in the text. dims: (id, keywords), a small schema."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    flags = [F.when(any_of(t, [k.lower() for k in ks]), F.lit(d)) for d, ks in dims if ks]
+    words = {d: [k.lower() for k in ks or () if k] for d, ks in dims if d is not None}
+    flags = [F.when(any_of(t, ks), F.lit(d)) for d, ks in words.items() if ks]
     return F.array_compact(F.array(*flags)).cast("array<string>")
 
 
 def aspect_votes(text: Column, dims: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """map of aspect to sentiment: every clause with a polarity votes for the aspects it mentions; only unanimous votes count."""
+    dims = [(d, ks) for d, ks in dims if d is not None]
     if not dims:
         none = F.array().cast("array<string>")
         return F.map_from_arrays(none, none)
