@@ -29,7 +29,7 @@ def dimension_cards(items: DataFrame, k: int = 3, strict: bool = True) -> DataFr
     rows = rows.withColumn("k", F.row_number().over(group.orderBy(*card_order(strict))))
     size = rows.groupBy("dim", "polarity").agg(F.count("*").alias("n"))
     top = rows.where(F.col("k") <= k)
-    return top.join(F.broadcast(size), ["dim", "polarity"]).select("dim", "polarity", "k", "n", "item_seq", "text_id", evidence_text(F.col("text")).alias("quote"))
+    return top.join(size, ["dim", "polarity"]).select("dim", "polarity", "k", "n", "item_seq", "text_id", evidence_text(F.col("text")).alias("quote"))
 
 
 def negative_cards(items: DataFrame, used: DataFrame, k: int = 5, strict: bool = True) -> DataFrame:

@@ -34,7 +34,7 @@ def hold_out(df: DataFrame, strata: str, id: str, total: int, seed: int | None =
     sizes = df.groupBy(F.col(strata).alias("key")).agg(F.count("*").alias("size"))
     quota = S.largest_remainder(sizes, "size", total, cap="size").select("key", "quota")
     order = [F.col(id)] if seed is None else [F.xxhash64(F.lit(seed), F.col(id)), F.col(id)]
-    rows = df.withColumn("__k", F.row_number().over(W.partitionBy(strata).orderBy(*order))).join(F.broadcast(quota), F.col(strata).eqNullSafe(F.col("key")))
+    rows = df.withColumn("__k", F.row_number().over(W.partitionBy(strata).orderBy(*order))).join(quota, F.col(strata).eqNullSafe(F.col("key")))
     pick = F.col("__k") <= F.col("quota")
     clean = lambda x: x.drop("__k", "key", "quota")
     return clean(rows.where(pick)), clean(rows.where(~pick))
