@@ -45,3 +45,11 @@ def test_pairs_against_all(spark):
     got = [(r.row_a, r.row_b) for r in pairs_of(df, "k", "t", "x").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert pairs_of(df.limit(0), "k", "t", "x").count() == 0
+
+
+def test_nulls_in_a_frame(spark):
+    from voxgrid.llm.lookalike import with_form
+
+    df = spark.createDataFrame([(1, None), (2, "Ａ"), (3, "")], "k int, t string")
+    assert sorted((r.k, r.form) for r in with_form(df, "t").collect()) == [(1, None), (2, "A"), (3, "")]
+    assert with_form(df.limit(0), "t").count() == 0

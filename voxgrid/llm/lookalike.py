@@ -172,7 +172,7 @@ def with_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, fold_array(b.column(at))], [*names, out])
 
-    return df.mapInArrow(run, df.select("*", F.lit("").cast("string").alias(out)).schema)
+    return df.mapInArrow(run, df.select("*", F.lit(None).cast("string").alias(out)).schema)
 
 
 def pairs_of(df: DataFrame, key: str, text: str, src: str) -> DataFrame:
