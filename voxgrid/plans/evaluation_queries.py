@@ -117,12 +117,12 @@ def agreement(spark, d):
     return E.agreement(a, b, "id")
 
 
-_RUN = "(select event_id as run_id, event_type as mode, user_id % 5 as fingerprint, ts, round(value / 1000, 4) as accuracy from events)"
+_RUN = "(select event_id as run_id, event_type as mode, user_id % 5 as fingerprint, ts, value as accuracy from events)"
 
 
 @query(f"select run_id, lag(run_id) over (partition by mode, fingerprint order by ts, run_id) as previous, lag(accuracy) over (partition by mode, fingerprint order by ts, run_id) as previous_accuracy from {_RUN}")
 def prev_run_asof(spark, d):
-    r = table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("mode"), (F.col("user_id") % 5).alias("fingerprint"), "ts", F.round(F.col("value") / 1000, 4).alias("accuracy"))
+    r = table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("mode"), (F.col("user_id") % 5).alias("fingerprint"), "ts", F.col("value").alias("accuracy"))
     return E.previous_run(r).select("run_id", "previous", "previous_accuracy")
 
 
