@@ -29,9 +29,13 @@ from voxgrid.session import staged, table
 NEAR, RATE, LEAST, TIMES = 12, 0.01, 4, 3.0
 #: Context lengths in characters, longest first, and how often a context must be seen. A clause shorter than the
 #: shortest is its own context, marked as the start of a clause.
-CONTEXTS, SEEN = (6, 3), 6
+CONTEXTS, SEEN = (14, 6, 3), 6
+#: What a context of each length is made of: letters say little until they are many, Han characters soon say enough.
+WINDOW = {14: "[A-Za-z0-9' -]{14}", 6: ".{6}", 3: ".{2}[^A-Za-z ]"}
 #: Share of clause ends among a context's places: under it an end is incomplete; without any other sign, under NEVER.
 ENDS, NEVER = 0.2, 0.01
+#: The same for an end with dots at a length of no significance: writers put dots after complete ends.
+DOTTED = 0.05
 #: Places that a context must have to show a cut by itself.
 SURE = 12
 
@@ -51,6 +55,12 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(text, "(?:[A-Z]{2,3}(?=[0-9]{3}))?[0-9]+", "0")
 
 
+def _end_of(c: str, k: int) -> Column:
+    """The last k characters of a clause where they make a context, else null."""
+    tail = F.expr(f"right({c}, {k})")
+    return F.when((F.length(c) >= k) & tail.rlike(f"(?s)^{WINDOW[k]}$"), tail)
+
+
 def ends(df: DataFrame) -> DataFrame:
     """df with what the end of its text looks like: broken, more, dots, base length, closed, and its contexts."""
     # patterns look at the tail only; what stands before it decides nothing but the length
@@ -62,7 +72,7 @@ def ends(df: DataFrame) -> DataFrame:
     last = F.element_at(F.split(_plain(F.expr("right(base, 40)")), _CLAUSE), -1)
     df = df.withColumn("last", F.when(~F.col("closed"), F.ltrim(last)))
     short = F.when(F.length("last").between(1, CONTEXTS[-1] - 1), F.concat(F.lit("^"), "last"))
-    cs = [F.when(F.length("last") >= k, F.expr(f"right(last, {k})")) for k in CONTEXTS]
+    cs = [_end_of("last", k) for k in CONTEXTS]
     cs[-1] = F.coalesce(cs[-1], short)
     return df.select("*", *[c.alias(f"c{k}") for c, k in zip(cs, CONTEXTS, strict=True)]).drop("t", "full", "base", "last")
 
@@ -72,8 +82,8 @@ def context_ends(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     pieces = texts.select(F.split(_plain(F.col("text")), _CLAUSE).alias("p")).where(F.size("p") > 1)
     clauses = pieces.select(F.explode(F.slice("p", 1, F.size("p") - 1)).alias("c")).select(F.ltrim("c").alias("c")).where("c <> ''")
     counted = clauses.groupBy("c").agg(F.count("*").alias("n"))
-    spots = F.concat(*[F.transform(F.regexp_extract_all("c", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda x: F.struct(x.alias("c"), F.lit(0).alias("e"))) for k in CONTEXTS])
-    final = F.filter(F.array(*[F.struct(F.when(F.length("c") >= k, F.expr(f"right(c, {k})")).alias("c"), F.lit(1).alias("e")) for k in CONTEXTS]), lambda x: x.c.isNotNull())
+    spots = F.concat(*[F.transform(F.regexp_extract_all("c", F.lit(f"(?s)(?=({WINDOW[k]}))"), F.lit(1)), lambda x: F.struct(x.alias("c"), F.lit(0).alias("e"))) for k in CONTEXTS])
+    final = F.filter(F.array(*[F.struct(_end_of("c", k).alias("c"), F.lit(1).alias("e")) for k in CONTEXTS]), lambda x: x.c.isNotNull())
     starts = range(1, CONTEXTS[-1])
     begun = F.filter(F.array(*[F.struct(F.when(F.length("c") >= k, F.concat(F.lit("^"), F.expr(f"left(c, {k})"))).alias("c"), F.lit(0).alias("e")) for k in starts]), lambda x: x.c.isNotNull())
     whole = F.filter(F.array(F.struct(F.when(F.length("c") < CONTEXTS[-1], F.concat(F.lit("^"), "c")).alias("c"), F.lit(1).alias("e"))), lambda x: x.c.isNotNull())
@@ -121,7 +131,7 @@ def cuts(df: DataFrame) -> DataFrame:
     incomplete = F.coalesce(share < ENDS, F.lit(True))
     sure = F.coalesce((share < NEVER) & (places >= SURE), F.lit(False))
     limit = F.coalesce("own", "shared", F.lit(False))
-    cut = (limit & incomplete) | (F.col("dots") & F.coalesce(share < ENDS, F.lit(False))) | sure
+    cut = (limit & incomplete) | (F.col("dots") & F.coalesce(share < DOTTED, F.lit(False))) | sure
     return rows.where(cut).select("src", "row_id").unionByName(seen.where("broken or more").select("src", "row_id"))
 
 
