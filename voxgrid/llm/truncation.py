@@ -47,7 +47,8 @@ _MORE = r"(?:…+|\.{2,}|。{2,})\s*[\[(（【]?\s*(?:全文|展开(?:全文)?|
 _DOTS = r"\s*(?:…+|\.{2,}|。{3,})\s*$"
 _CLAUSE = r"[\u3001\u3002\uFF01-\uFF0F\uFF1A-\uFF1F\uFF5E\u2026!?;,~#\]\r\n\p{So}]+|\.(?=\s|$)|\.{2,}"
 #: Ends that a writer leaves: closing marks, symbols and emotes, emoji, tags, addresses.
-_CLOSED = r"(?:[。．！？!?～~.；;：:\])）】」』”\"'》>*^_=|/\\-]|\p{So}|\p{Sk}|\p{Cs}|️|‍|#[^#\s]{1,30}#?|(?:https?://|www\.)[!-~]+|[A-Za-z0-9._+-]@[A-Za-z0-9.-]+)\s*$"
+_CLOSED = r"[。．！？!?～~.；;：:\])）】」』”\"'》>*^_=|/\\\-\p{So}\p{Sk}\p{Cs}\x{FE0F}\x{200D}]"
+_CLOSED_WORD = r"(?:#[^#\s]{1,30}#?|(?:https?://|www\.)[!-~]+|[A-Za-z0-9._+-]@[A-Za-z0-9.-]+)$"
 
 
 def _plain(text: Column) -> Column:
@@ -68,7 +69,8 @@ def ends(df: DataFrame) -> DataFrame:
     df = df.withColumn("full", F.length("t")).withColumn("t", F.expr(f"right(t, {TAIL})"))
     df = df.withColumn("broken", F.col("t").rlike(_BROKEN)).withColumn("more", F.col("t").rlike(_MORE)).withColumn("dots", F.col("t").rlike(_DOTS))
     base = F.when(F.col("more"), F.regexp_replace("t", _MORE, "")).when(F.col("dots"), F.regexp_replace("t", _DOTS, "")).otherwise(F.col("t"))
-    df = df.withColumn("base", base).withColumn("length", F.col("full") - F.length("t") + F.length("base")).withColumn("closed", F.col("base").rlike(_CLOSED) | (F.col("base") == ""))
+    df = df.withColumn("base", base).withColumn("length", F.col("full") - F.length("t") + F.length("base")).withColumn("base", F.expr(f"trim(trailing '{_BLANKS}' from base)"))
+    df = df.withColumn("closed", (F.col("base") == "") | F.expr("right(base, 1)").rlike(_CLOSED) | F.col("base").rlike(_CLOSED_WORD))
     last = F.element_at(F.split(_plain(F.expr("right(base, 40)")), _CLAUSE), -1)
     df = df.withColumn("last", F.when(~F.col("closed"), F.ltrim(last)))
     short = F.when(F.length("last").between(1, CONTEXTS[-1] - 1), F.concat(F.lit("^"), "last"))
