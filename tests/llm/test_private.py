@@ -66,3 +66,14 @@ def test_batches_agree(finder, monkeypatch):
     want = finder.spans(texts)
     monkeypatch.setattr(private, "KEPT", 3)
     assert private.Finder(private.trained()).spans(texts) == want
+
+
+def test_batches_beyond_the_cache_lose_nothing(finder, monkeypatch):
+    texts = [t for t, _ in CASES]
+    want = finder.spans(texts)
+    assert any(want)
+    monkeypatch.setattr(private, "KEPT", 3)
+    later = private.Finder(private.trained())
+    later.spans(["很好。", "不错。"])  # a worker that has seen a batch before
+    assert later.spans(texts) == want and later.spans(texts) == want
+    assert len(later.kept) <= 3

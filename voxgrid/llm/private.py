@@ -15,6 +15,7 @@ texts of any length are read whole, and what isn't private stays as it is, chara
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -318,9 +319,9 @@ class Finder:
         self.field = field
         self.kept: dict[str, list[tuple[int, int, str]]] = {}
 
-    def _learn(self, keys: list[str]) -> None:
-        if len(self.kept) + len(keys) > KEPT:
-            self.kept.clear()
+    def _learn(self, keys: list[str]) -> dict[str, list[tuple[int, int, str]]]:
+        """The spans of new clauses; as many of them as fit are kept for later batches."""
+        learnt: dict[str, list[tuple[int, int, str]]] = {}
         for at in range(0, len(keys), 20_000):
             part = keys[at : at + 20_000]
             tokens = Tokens(part)
@@ -334,11 +335,16 @@ class Finder:
                 else:
                     spans.append((int(tokens.begin[i]), int(tokens.end[i]), x[1]))
             for j, k in enumerate(part):
-                self.kept[k] = got.get(j, [])
+                learnt[k] = got.get(j, [])
+        if len(self.kept) + len(learnt) > KEPT:
+            self.kept.clear()
+        self.kept.update(itertools.islice(learnt.items(), KEPT))
+        return learnt
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(begin, end, tag) in each original text, after the exact check."""
         cut, new = [], {}
+        known: dict[str, list[tuple[int, int, str]]] = {}  # the batch's own: what is kept may be forgotten meanwhile
         for t in texts:
             if not t:
                 cut.append(None)
@@ -348,15 +354,12 @@ class Finder:
             keys = [_CODE.sub(lambda m: "X" * len(m.group()), _DIGIT.sub("0", c)) for c in clauses[::2]]
             cut.append((plain, places, clauses, keys))
             for k in keys:
-                if k not in self.kept:
+                if k in self.kept:
+                    known[k] = self.kept[k]
+                else:
                     new[k] = None
-        full = self.kept
         if new:
-            before = len(self.kept)
-            self._learn(list(new))
-            if len(self.kept) < before + len(new):  # it started over: learn the batch's others again
-                missing = {k: None for c in cut if c for k in c[3] if k not in self.kept}
-                self._learn(list(missing))
+            known.update(self._learn(list(new)))
         out = []
         for c in cut:
             got: list[tuple[int, int, str]] = []
@@ -364,7 +367,7 @@ class Finder:
                 plain, places, clauses, keys = c
                 at = 0
                 for i, k in enumerate(keys):
-                    for a, b, tag in full.get(k, ()):
+                    for a, b, tag in known[k]:
                         if valid(tag, plain[at + a : at + b]):
                             x, y = at + a, at + b
                             got.append((places[x], places[y - 1] + 1, tag) if places else (x, y, tag))
