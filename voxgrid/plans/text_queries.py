@@ -167,7 +167,7 @@ def dimension_mention(spark, d):
 @query()
 def aspect_sentiment(spark, d):
     """Unanimous clause votes per aspect of every item."""
-    rows = table(spark, d, "coded_items", "item_seq", "text").select("item_seq", F.explode(L.aspect_votes(F.col("text"), dims(spark, d)[:6])).alias("dim", "sentiment"))
+    rows = table(spark, d, "coded_items", "item_seq", "text").select("item_seq", F.explode(L.aspect_votes(F.col("text"), dims(spark, d))).alias("dim", "sentiment"))
     return rows.groupBy("dim", "sentiment").agg(F.count("*").alias("n"))
 
 
