@@ -116,20 +116,20 @@ def word_clusters(spark, d):
   m as (select phrase, c.n, round(ln(c.n::double * n_docs / (fa.df * fb.df)), 3) as pmi, sentiment, samples from c join f fa on fa.w = a join f fb on fb.w = b, n)
   select * from m where pmi >= 1.5 or (pmi >= 1.2 and abs(sentiment) >= 0.25)""")
 def ngram_phrases(spark, d):
-    return TK.phrases(docs(spark, d), hi=3)
+    return TK.phrases(docs(spark, d))
 
 
 @query()
 def phrases_suppressed(spark, d):
     """The best phrases without fragments of longer ones."""
-    rows = TK.suppressed(TK.phrases(docs(spark, d), hi=3))
+    rows = TK.suppressed(TK.phrases(docs(spark, d)))
     return spark.createDataFrame([(r["phrase"], r["n"], r["pmi"], r["sentiment"]) for r in rows], "phrase string, n long, pmi double, sentiment double")
 
 
 @query()
 def phrase_topics(spark, d):
     """Phrases coded to topics by polarity."""
-    return TK.topics(TK.phrases(docs(spark, d), hi=3))
+    return TK.topics(TK.phrases(docs(spark, d)))
 
 
 @query()
