@@ -19,3 +19,20 @@ def test_cases(spark):
     got = {(r.k, r.field) for r in flagged(df, "k", ["title", "content"]).collect()}
     assert got == {(i, "title") for i in range(len(bad))}
     assert flagged(df.limit(0), "k", ["title", "content"]).count() == 0
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, content string")
+    return {r.k for r in flagged(df, "k", ["content"]).collect()}
+
+
+def test_constant_fills(spark):
+    once = ["Dear {{username}} of the shop"]
+    assert found(spark, once) == {0} and found(spark, once * 3) == {0, 1, 2}  # copies
+    whole = [f"Dear {{{{username}}}} thanks for order {i}. " for i in range(5)]
+    assert found(spark, whole) == set(range(5))
+    leaks = [f"Welcome back {{{{username}}}} to the shop. {x}" for x in ("It rains.", "Nice lamp.", "No news.")] + ["亲爱的用户undefined您的包裹已到，请取件"]
+    ordinary = ["Welcome back Anna to the shop. Hi.", "Welcome back Bob to the shop. Ok.", "亲爱的用户小王您的包裹已到，好", "亲爱的用户小李您的包裹已到，好"]
+    assert found(spark, leaks + ordinary) == set(range(4))
+    quotes = [f"My template kept printing {{{{ name }}}} until I fixed the config. {x}" for x in ("It rains.", "Nice lamp.")] + ["表格里显示NaN原来是我公式写错。好"]
+    assert found(spark, quotes + ordinary) == set()

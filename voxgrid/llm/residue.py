@@ -7,7 +7,8 @@ thing is a person quoting it. Whole-page error templates are units with the word
 stand, wherever they occur, alone on their page and not inside a person's text.
 
 Defined results: null and blank fields are no cases; a row with both fields bad gives two rows;
-repeated rows are judged alike. Counts cover all rows, and nothing is gathered in one task.
+repeated rows are judged alike. Counts cover all rows, a text that recurs counts once, and nothing is
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ BARE = r"\[[\p{L}_][\p{L}\p{N}_.]{0,40}\]"
 RAW = r"\[object Object\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]?|(?<![0-9])%[sd](?![A-Za-z0-9])|(?<![A-Za-z0-9_.])(?:undefined|null|None|NaN|nan|nil)(?![A-Za-z0-9_])"
 SLOT = rf"(?=[\[%$#{{<@_&uNn])(?:{RAW}|{STRICT}|{BARE})"
 
+#: A frame needs so many characters besides its slot, so many of them in one piece, to be aligned with other units; a slot's value
+#: is no longer than LONGEST_VALUE, and one other value may be chance.
+LITERAL, ANCHOR, LONGEST_VALUE, FILLS = 6, 4, 40, 2
+#: Up to so many frames are broadcast after being counted; more are joined by shuffle.
+BROADCAST_FRAMES = 50_000
+
 #: Wording of notices by servers, programs and access checks, and of editing prompts.
 _ZH_NOTICES = [
     r"页面(?:不存在|走丢|已?失效|已?被?删除|找不到)", r"访问的(?:页面|内容|网页)", r"秒后(?:自动)?(?:返回|跳转)", r"服务器(?:开小差|错误|繁忙|异常|内部)",
@@ -104,11 +111,39 @@ def _lorem(u: Column) -> Column:
     return (F.size(words) >= 4) & (F.size(F.filter(words, lambda w: F.array_contains(known, w))) >= 0.7 * F.size(words))
 
 
+def _plain(u: Column) -> Column:
+    return F.regexp_replace(F.lower(u), "[0-9]+", "0")
+
+
+def _filled(texts: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frames whose slot holds FILLS different ordinary values in units of (text). frames: (frame, raw), of one slot each.
+
+    Units and frames meet by the first or the last ANCHOR characters.
+    """
+    before, after = F.substring_index("frame", "□", 1), F.substring_index("frame", "□", -1)
+    sides = frames.where(F.size(F.split("frame", "□")) == 2).select("frame", before.alias("before"), after.alias("after"), "raw")
+    sides = sides.where((F.length("before") + F.length("after") >= LITERAL) & (F.greatest(F.length("before"), F.length("after")) >= ANCHOR) & (~F.col("raw") | ((F.col("before") != "") & (F.col("after") != ""))))
+    head = F.length("before") >= ANCHOR
+    sides = staged(sides.select("frame", "before", "after", F.when(head, F.concat(F.lit("<"), F.left("before", F.lit(ANCHOR)))).otherwise(F.concat(F.lit(">"), F.right("after", F.lit(ANCHOR)))).alias("at")), "frames")
+    n = sides.count()
+    if not n:
+        return sides.select("frame")
+    units = texts.select(F.explode(_units(F.col("text"), _PART)).alias("u")).select("u", _plain(F.col("u")).alias("plain"))
+    units = units.select("u", "plain", F.explode(F.array(F.concat(F.lit("<"), F.left("plain", F.lit(ANCHOR))), F.concat(F.lit(">"), F.right("plain", F.lit(ANCHOR))))).alias("at"))
+    near = units.join(F.broadcast(sides) if n <= BROADCAST_FRAMES else sides, "at")
+    near = near.where(F.startswith("plain", F.col("before")) & F.endswith("plain", F.col("after")) & ~F.col("u").rlike(SLOT))
+    room = F.length("plain") - F.length("before") - F.length("after")
+    value = F.trim(F.substring(F.col("plain"), F.length("before") + 1, F.greatest(room, F.lit(0))))
+    values = near.where((room > 0) & (room <= LONGEST_VALUE)).select("frame", value.alias("value")).where("value <> ''")
+    return values.groupBy("frame").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= FILLS).select("frame")
+
+
 def flagged(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field) of the fields of df that hold residue, filler, an error message or a notice."""
     texts = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     texts = texts.select("k", "x.field", "x.text").where(F.col("text").rlike(r"[^\s\p{Z}]"))
     notice, chrome = f"(?i){NOTICE}", f"(?i){CHROME}"
+    every = texts.select("text")
     # most fields hold no sign of any of this: four patterns over the whole text spare them the cutting into units
     lorem = F.col("text").rlike(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|incididunt|aliqua|nostrud|ullamco|commodo)\b")
     texts = texts.where(F.col("text").rlike(notice) | F.col("text").rlike(SLOT) | lorem | F.col("text").rlike(f"(?i){FILLER_WORDS}") | F.col("text").rlike(r"(?i)<html|^\s*\{"))
@@ -119,13 +154,14 @@ def flagged(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         "k", "field", page.alias("page"), repeated.alias("repeated"),
         F.exists("ss", _lorem).alias("lorem"),
         F.forall("ss", lambda u: u.rlike(notice) | u.rlike(chrome)).alias("alone"),
+        F.forall("ss", lambda u: u.rlike(SLOT)).alias("template"), F.sha2("text", 256).alias("hash"),
         F.concat(
             F.transform(F.filter("ss", lambda u: u.rlike(notice)), lambda u: F.struct(u.alias("u"), F.lit(True).alias("cue"))),
             F.transform(F.filter("us", lambda u: u.rlike(SLOT)), lambda u: F.struct(u.alias("u"), F.lit(False).alias("cue"))),
         ).alias("us"),
     ).where("page or repeated or lorem or size(us) > 0")
-    rows = rows.select("k", "field", "page", "repeated", "lorem", "alone", F.explode_outer("us").alias("x"))
-    rows = staged(rows.select("k", "field", "page", "repeated", "lorem", "alone", F.col("x.u").alias("u"), F.coalesce("x.cue", F.lit(False)).alias("cue"), F.col("x.cue").eqNullSafe(False).alias("slot")), "units")
+    rows = rows.select("k", "field", "page", "repeated", "lorem", "alone", "template", "hash", F.explode_outer("us").alias("x"))
+    rows = staged(rows.select("k", "field", "page", "repeated", "lorem", "alone", "template", "hash", F.col("x.u").alias("u"), F.coalesce("x.cue", F.lit(False)).alias("cue"), F.col("x.cue").eqNullSafe(False).alias("slot")), "units")
 
     whole = rows.where("page or repeated or lorem").select("k", "field")
 
@@ -135,13 +171,18 @@ def flagged(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     notices = cues.join(pages.where("rate >= 0.5"), "key").select("k", "field")
 
     # slots: aligned records fill the same slot differently
-    slots = rows.where("slot").select("k", "field", F.lower(F.regexp_replace("u", SLOT, "□")).alias("frame"), F.explode(F.regexp_extract_all("u", F.lit(f"({SLOT})"), F.lit(1))).alias("fill"))
+    slots = rows.where("slot").select("k", "field", "template", "hash", F.lower(F.regexp_replace("u", SLOT, "□")).alias("frame"), F.explode(F.regexp_extract_all("u", F.lit(f"({SLOT})"), F.lit(1))).alias("fill"))
     slots = slots.withColumn("frame", F.regexp_replace("frame", "[0-9]+", "0")).withColumn("strict", F.col("fill").rlike(f"^(?:{STRICT})$")).withColumn("bare", F.col("fill").rlike(f"^{BARE}$") & (F.col("fill") != "[object Object]"))
     slots = slots.withColumn("name", F.regexp_replace("fill", r"^[\[\]{}<>%$#@_=!&;\-\s]+(?:lt;)?|\|[^|]*$|(?:&gt;)?[\[\]{}<>%$#@_=!&;\-\s]+$", ""))
     names = slots.where("strict and name <> ''").select("name").distinct().withColumn("known", F.lit(True))
     slots = slots.join(names, "name", "left").where("not bare or known")
-    frames = slots.groupBy("frame").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi"), F.count("*").alias("n"))
-    held = slots.join(frames, "frame").where("lo <> hi or (n = 1 and strict and name <> '') or frame = '□'").select("k", "field")
+    slots = staged(slots, "slots")
+    raw = F.max((~F.col("strict")).cast("int")) == 1
+    by_text = slots.groupBy("frame", "hash").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi"), F.max(F.col("template").cast("int")).alias("template"), raw.alias("raw"))
+    frames = by_text.groupBy("frame").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.avg("template").alias("whole"), F.bool_or("raw").alias("raw"))
+    filled = _filled(every, frames.where("lo = hi and frame <> '□' and (n > 1 or raw)").select("frame", "raw")).withColumn("filled", F.lit(True))
+    held = slots.join(frames.drop("raw"), "frame").join(filled, "frame", "left")
+    held = held.where("lo <> hi or ((n = 1 or whole >= 0.5) and strict and name <> '') or frame = '□' or (filled and not bare)").select("k", "field")
     return whole.unionByName(notices).unionByName(held).distinct().withColumnRenamed("k", key)
 
 
