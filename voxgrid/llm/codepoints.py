@@ -40,3 +40,13 @@ def strings_of(cps: np.ndarray, row: np.ndarray, like: pa.Array) -> pa.Array:
     if isinstance(valid, pa.ChunkedArray):
         valid = valid.combine_chunks()
     return pa.compute.if_else(valid, out, pa.scalar(None, pa.string()))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Parts of a batch whose texts have so many bytes together at most, and one text at least."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to

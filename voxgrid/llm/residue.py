@@ -138,7 +138,7 @@ def _filled(texts: DataFrame, frames: DataFrame) -> DataFrame:
     return values.groupBy("frame").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= FILLS).select("frame")
 
 
-def flagged(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def flagged(df: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
     """(key, field) of the fields of df that hold residue, filler, an error message or a notice."""
     texts = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     texts = texts.select("k", "x.field", "x.text").where(F.col("text").rlike(r"[^\s\p{Z}]"))
