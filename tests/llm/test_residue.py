@@ -36,3 +36,24 @@ def test_constant_fills(spark):
     assert found(spark, leaks + ordinary) == set(range(4))
     quotes = [f"My template kept printing {{{{ name }}}} until I fixed the config. {x}" for x in ("It rains.", "Nice lamp.")] + ["表格里显示NaN原来是我公式写错。好"]
     assert found(spark, quotes + ordinary) == set()
+
+
+def test_induced_slots(spark):
+    """Slots from aligned records, whatever their syntax: blanks, names of fields, signed names; and repeated pages of errors."""
+    blank = ["尊敬的张三，您的订单8812已发货。", "尊敬的李四，您的订单990已发货。", "尊敬的，您的订单已发货。"]
+    assert found(spark, blank + PEOPLE) == {2}
+    english = ["Dear Anna, your parcel 77 has left the depot.", "Dear , your parcel has left the depot."]
+    assert found(spark, english + PEOPLE) == {1}
+    names = [f"亲爱的{n}，感谢您购买{p}，欢迎再来。" for n, p in (("王小明", "台灯"), ("赵一", "背包"), ("孙丽", "水杯"), ("用户姓名", "商品名称"), ("用户姓名", "商品名称"), ("用户姓名", "商品名称"))]
+    assert found(spark, names + PEOPLE) == {3, 4, 5}
+    signed = [f"Your ticket for {x} is confirmed" for x in ("Lisbon", "Oslo", "Rome", "*|DESTINATION|*")]
+    assert found(spark, signed + PEOPLE) == {3}
+    pages = ["当前线路拥堵，资源节点暂未就绪"] * 50 + ["真的太好看了"] * 50 + ["服务器又异常了，我登录失败三次"] * 50
+    assert found(spark, pages + PEOPLE) == set(range(50))
+
+
+def test_alike_people(spark):
+    """Sentences of people that share their beginnings and ends are no templates."""
+    likes = [f"我觉得{a}{b}不错" for a in ("音质", "物流", "做工", "价格", "包装") for b in ("真的", "", "也")] * 3
+    likes += [f"这个{t}用了{n}天，{a}很好" for t in ("键盘", "台灯") for n in (3, 12) for a in ("手感", "价格", "")]
+    assert found(spark, likes) == set()

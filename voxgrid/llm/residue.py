@@ -1,14 +1,20 @@
 """Template residue and error-page text in place of what a person wrote.
 
-Method: texts are cut into units, and records of one template are aligned on the unit with its slots
-masked. A frame whose slot is filled differently from record to record is a template; its slots that
-still hold a variable's name, a default or nothing are residue. A frame that always holds the same
-thing is a person quoting it. Whole-page error templates are units with the wording of a notice that
-stand, wherever they occur, alone on their page and not inside a person's text.
+Method: texts are cut into units, and the units of all records are aligned. Units that share their
+first or last characters form a group; what all units of a group have in common at their beginning
+and at their end is its frame, and what lies between, where the units differ, is an induced slot. The
+common parts come from the least and the greatest unit of a group and of the units reversed, so a group
+is never gathered. A slot that others fill with ordinary values is residue where it holds a raw missing
+value, a name in signs, the name of a field, or nothing at all. Error pages are found the same way as
+whole pages: a page that many records repeat word for word, in the impersonal words of a system.
+
+An exact check of single records follows: placeholders whose syntax no one writes by chance in a frame
+that no other record shares, and the wording of notices, where the unit stands, wherever it occurs,
+alone on its page and not inside a person's text. p3_evidence counts the fields of each.
 
 Defined results: null and blank fields are no cases; a row with both fields bad gives two rows;
-repeated rows are judged alike. Counts cover all rows, a text that recurs counts once, and nothing is
-gathered in one task.
+repeated rows are judged alike. Counts cover all rows, a text that recurs counts once except where
+repetition is the sign, and nothing is gathered in one task.
 """
 
 from __future__ import annotations
@@ -138,13 +144,122 @@ def _filled(texts: DataFrame, frames: DataFrame) -> DataFrame:
     return values.groupBy("frame").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= FILLS).select("frame")
 
 
-def flagged(df: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
-    """(key, field) of the fields of df that hold residue, filler, an error message or a notice."""
+#: Lengths of the first or last characters by which units meet, longest values of a slot and least characters of its frame.
+ANCHORS, SLOT_VALUE, FRAME = (3, 5, 8, 13), 24, 3
+#: A raw missing value needs so many characters of frame, on both of its sides.
+RAW_FRAME = 6
+#: Words for fields of a form or a record, of which a variable's name is made.
+FIELD_WORDS = (
+    "用户 姓名 昵称 名称 名字 账号 商品 产品 品牌 型号 价格 金额 数量 单价 日期 时间 地址 城市 省份 地区 电话 手机 号码 邮箱 订单 编号 单号 快递 公司 店铺 标题 内容 作者 链接 收件人 客户 会员 变量 字段 默认值 占位 名 号 "
+    "user name username first last full nickname customer client member product item brand model price amount total quantity date time year city state country address phone mobile number email order id company store title subject author link url value field default variable placeholder your"
+)
+_FIELD = "|".join(sorted(FIELD_WORDS.split(), key=lambda w: (-len(w), w)))
+#: The name of a field: of two words or more, or of one that readers don't talk about.
+FIELD_NAME = rf"^(?:(?:(?:{_FIELD})[\s_.-]*){{2,}}|姓名|昵称|收件人|变量|字段|默认值|占位|username|firstname|lastname|placeholder)$"
+#: A name in signs, whatever the signs, and the signs that people don't write around a word.
+CODED = r"[{}<>%$|&=\\^]|^[^\p{L}\p{N}\s#!！?？~～。.…—-]{2}"
+SIGNED = r"^[^\p{L}\p{N}\s,，、'’.-]{1,4}\s*[\p{L}_][\p{L}\p{N}_. |-]*\s*[^\p{L}\p{N}\s,，、'’.-]{1,4}$"
+#: Places where a reader sees that a value is missing: a blank before a mark, two blanks in a line, empty brackets.
+HOLE = r"[\p{L}\p{N}] [,，。;；!！?？](?:\s|$)|[\p{L}\p{N},] {2,}[\p{L}\p{N}]|\(\s*\)|（\s*）|“\s*”|「\s*」|【\s*】|《\s*》|[\p{L}][:：]\s*(?:[,，。;；]|\n)"
+#: Units of a template that fill their slot mostly with values of their own: records of a unit, on average.
+OWN_VALUES = 1.5
+#: A page repeated so often, in so many words of a system and none of a person's, is an error page.
+REPEATED, SYSTEM_WORDS = 5, 2
+_SYSTEM = (
+    r"错误|失败|异常|失效|无法|页面|访问|请求|加载|服务|服务器|系统|网络|登录|验证|权限|浏览器|资源|节点|线路|超时|中断|拥堵|维护|刷新|重试|跳转|响应|连接|会话|过期|就绪|状态|编号|代码|接口|终端|稍[后候]|请|您"
+    r"|(?i)\b(?:error|failed|failure|page|request(?:ed)?|server|access|browser|session|expired|unavailable|time(?:d )?out|denied|invalid|loading|load|resource|gateway|connection|network|unable|could not|cannot|please|refresh|retry|code|status|node|response)\b"
+)
+_PERSON = r"我|俺|咱|他|她|吧|啊|呢|呀|哈|嘛|又|老是|真|太|觉得|感觉|(?i)\b(?:i|my|me|we|our|he|she|really|just|lol|love|hate|nice|great)\b"
+
+
+def _common(a: Column, b: Column) -> Column:
+    """The length of the common beginning of two strings."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(differ, False)
+    return F.when(at > 0, at - 1).otherwise(F.length(a)).cast("int")
+
+
+def _anchored(units: DataFrame) -> DataFrame:
+    """units with the keys by which they meet, one row each."""
+    u = F.col("u")
+    keys = [F.when(F.length(u) >= k, F.concat(F.lit("<"), F.left(u, F.lit(k)))) for k in ANCHORS] + [F.when(F.length(u) >= k, F.concat(F.lit(">"), F.right(u, F.lit(k)))) for k in ANCHORS]
+    return units.select("*", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("at"))
+
+
+def slots(units: DataFrame) -> DataFrame:
+    """(u, kind): the units of (u, n) whose induced slot holds residue; n is the number of records of a unit.
+
+    kind: raw, signed, name, or blank; blanks need a look at their record.
+    """
+    group = _anchored(units).groupBy("at").agg(
+        F.min("u").alias("a"), F.max("u").alias("b"), F.min(F.reverse("u")).alias("ra"), F.max(F.reverse("u")).alias("rb"),
+        F.min(F.length("u")).alias("short"), F.max(F.length("u")).alias("long"), F.count("*").alias("units"), F.sum("n").alias("records"), F.max("n").alias("most"),
+    ).where("units > 1")
+    group = group.withColumn("head", F.least(_common(F.col("a"), F.col("b")), F.col("short"))).withColumn("tail", F.least(_common(F.col("ra"), F.col("rb")), F.col("short") - F.col("head")))
+    group = group.where((F.col("head") + F.col("tail") >= FRAME) & (F.col("long") - F.col("head") - F.col("tail") <= SLOT_VALUE) & (2 * (F.col("head") + F.col("tail")) >= F.col("long") - F.col("head") - F.col("tail")))
+    group = staged(group.select("at", "a", "ra", "short", "head", "tail", "units", "records", "most"), "groups")
+    own = (F.col("records") - F.col("n")) / (F.col("units") - 1) <= OWN_VALUES
+    # blank: the unit that is nothing but the frame
+    frame = F.when(F.length("a") == F.col("short"), F.col("a")).otherwise(F.reverse("ra"))
+    blank = group.where((F.col("head") + F.col("tail") == F.col("short"))).select(F.concat(F.left("a", F.col("head")), F.reverse(F.left("ra", F.col("tail")))).alias("u"), "records", "units")
+    blank = blank.where(F.length("u") >= FRAME).join(units, "u").where(own & (F.col("n") < F.col("units"))).select("u", F.lit("blank").alias("kind"))
+    # the others hold the sign of it somewhere, whatever their frame
+    some = units.where(F.col("u").rlike(rf"(?i)(?:{RAW})|[\[\]{{}}<>%$#@_=&^|~]|{_FIELD}"))
+    near = _anchored(some).join(group, "at")
+    value = F.trim(F.substring(F.col("u"), F.col("head") + 1, F.length("u") - F.col("head") - F.col("tail")))
+    near = near.withColumn("value", value).where("value <> ''").withColumn("others", F.col("units") - 1)
+    raw = F.col("value").rlike(f"(?i)^(?:{RAW})$") & (F.col("head") > 0) & (F.col("tail") > 0) & (F.col("head") + F.col("tail") >= RAW_FRAME)
+    name = F.col("value").rlike(FIELD_NAME) & (F.col("n") == F.col("most")) & own
+    kind = F.when(raw, "raw").when(F.col("value").rlike(SIGNED) & F.col("value").rlike(CODED) & ~F.col("value").rlike(f"^{BARE}$") & (F.col("head") + F.col("tail") >= RAW_FRAME), "signed").when(name, "name")
+    held = near.where("others >= 2").select("u", kind.alias("kind")).where("kind is not null")
+    return held.unionByName(blank).groupBy("u").agg(F.collect_set("kind").alias("kinds"))
+
+
+def _aligned(u: Column) -> Column:
+    return F.regexp_replace(F.lower(u), r"(?<=\p{IsHan})[\s\p{Z}]+(?=\p{IsHan})", "")
+
+
+def induced(texts: DataFrame) -> DataFrame:
+    """(k, field) of the fields of (k, field, text) with residue in an induced slot.
+
+    A blank counts where the reader sees the hole, or in a record that is nothing but template: two blank slots or more
+    in half of its units, and for the rest units that other records hold as well.
+    """
+    parts = texts.select("k", "field", F.col("text").rlike(HOLE).alias("hole"), F.transform(_units(F.col("text"), _PART), _aligned).alias("us"))
+    parts = staged(parts.where("size(us) > 0").select("k", "field", "hole", F.size("us").alias("size"), F.explode("us").alias("u")), "parts")
+    units = staged(parts.groupBy("u").agg(F.count("*").alias("n")), "alignable")
+    held = staged(slots(units).join(units, "u"), "held")
+    rows = parts.join(held, "u").groupBy("k", "field").agg(
+        F.max(F.size(F.array_except("kinds", F.array(F.lit("blank")))) > 0).alias("full"), F.max("hole").alias("hole"), F.sum(F.array_contains("kinds", "blank").cast("int")).alias("blanks"), F.max("size").alias("size"),
+    )
+    sure = F.col("full") | ((F.col("blanks") > 0) & F.col("hole"))
+    rows = staged(rows.where(sure | ((F.col("blanks") > 1) & (2 * F.col("blanks") >= F.col("size")))).withColumn("sure", sure), "blanks")
+    fixed = parts.join(rows.where("not sure").select("k", "field"), ["k", "field"], "left_semi").join(units, "u").join(held.select("u", F.lit(True).alias("slot")), "u", "left")
+    fixed = fixed.groupBy("k", "field", "size").agg(F.count_if(F.col("slot") | (F.col("n") > 1)).alias("known")).where("known = size").select("k", "field")
+    return rows.where("sure").select("k", "field").unionByName(fixed)
+
+
+def repeated_pages(texts: DataFrame) -> DataFrame:
+    """(k, field) of the fields of (k, field, text) that are a page which many repeat, in a system's words."""
+    page = F.trim(_plain(F.col("text")))
+    words = F.size(F.array_distinct(F.regexp_extract_all(page, F.lit(f"({_SYSTEM})"), F.lit(1))))
+    rows = texts.withColumn("page", page).where((words >= SYSTEM_WORDS) & ~F.col("page").rlike(_PERSON)).select("k", "field", F.xxhash64("page", F.length("page")).alias("page"))
+    rows = staged(rows, "pages")
+    many = rows.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
+    return rows.join(many, "page").select("k", "field")
+
+
+def evidence(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, evidence) of the fields of df that hold residue, filler, an error message or a notice.
+
+    evidence: slot and page come from aligned records, filler, notice and syntax from the exact check of single ones.
+    """
     texts = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     texts = texts.select("k", "x.field", "x.text").where(F.col("text").rlike(r"[^\s\p{Z}]"))
     notice, chrome = f"(?i){NOTICE}", f"(?i){CHROME}"
     every = texts.select("text")
-    # most fields hold no sign of any of this: four patterns over the whole text spare them the cutting into units
+    aligned = induced(texts).withColumn("evidence", F.lit("a slot")).unionByName(repeated_pages(texts).withColumn("evidence", F.lit("b page")))
+    # the exact check: most fields hold no sign of any of this, and patterns over the whole text spare them the cutting into units
     lorem = F.col("text").rlike(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|incididunt|aliqua|nostrud|ullamco|commodo)\b")
     texts = texts.where(F.col("text").rlike(notice) | F.col("text").rlike(SLOT) | lorem | F.col("text").rlike(f"(?i){FILLER_WORDS}") | F.col("text").rlike(r"(?i)<html|^\s*\{"))
     seen = texts.select("k", "field", "text", _units(F.col("text"), _SENTENCE).alias("ss"), _units(F.col("text"), _PART).alias("us"))
@@ -163,29 +278,42 @@ def flagged(df: DataFrame, key: str, fields: list[str], only: DataFrame | None =
     rows = rows.select("k", "field", "page", "repeated", "lorem", "alone", "template", "hash", F.explode_outer("us").alias("x"))
     rows = staged(rows.select("k", "field", "page", "repeated", "lorem", "alone", "template", "hash", F.col("x.u").alias("u"), F.coalesce("x.cue", F.lit(False)).alias("cue"), F.col("x.cue").eqNullSafe(False).alias("slot")), "units")
 
-    whole = rows.where("page or repeated or lorem").select("k", "field")
+    whole = rows.where("page or repeated or lorem").select("k", "field", F.when(F.col("page"), "d notice").otherwise("c filler").alias("evidence"))
 
     # notices: the unit stands on a page of its own in most of the fields that hold it
     cues = rows.where("cue").select("k", "field", "alone", _key(F.col("u")).alias("key")).distinct()
     pages = cues.groupBy("key").agg(F.avg(F.col("alone").cast("int")).alias("rate"))
-    notices = cues.join(pages.where("rate >= 0.5"), "key").select("k", "field")
+    notices = cues.join(pages.where("rate >= 0.5"), "key").select("k", "field", F.lit("d notice").alias("evidence"))
 
     # slots: aligned records fill the same slot differently
-    slots = rows.where("slot").select("k", "field", "template", "hash", F.lower(F.regexp_replace("u", SLOT, "□")).alias("frame"), F.explode(F.regexp_extract_all("u", F.lit(f"({SLOT})"), F.lit(1))).alias("fill"))
-    slots = slots.withColumn("frame", F.regexp_replace("frame", "[0-9]+", "0")).withColumn("strict", F.col("fill").rlike(f"^(?:{STRICT})$")).withColumn("bare", F.col("fill").rlike(f"^{BARE}$") & (F.col("fill") != "[object Object]"))
-    slots = slots.withColumn("name", F.regexp_replace("fill", r"^[\[\]{}<>%$#@_=!&;\-\s]+(?:lt;)?|\|[^|]*$|(?:&gt;)?[\[\]{}<>%$#@_=!&;\-\s]+$", ""))
-    names = slots.where("strict and name <> ''").select("name").distinct().withColumn("known", F.lit(True))
-    slots = slots.join(names, "name", "left").where("not bare or known")
-    slots = staged(slots, "slots")
+    marks = rows.where("slot").select("k", "field", "template", "hash", F.lower(F.regexp_replace("u", SLOT, "□")).alias("frame"), F.explode(F.regexp_extract_all("u", F.lit(f"({SLOT})"), F.lit(1))).alias("fill"))
+    marks = marks.withColumn("frame", F.regexp_replace("frame", "[0-9]+", "0")).withColumn("strict", F.col("fill").rlike(f"^(?:{STRICT})$")).withColumn("bare", F.col("fill").rlike(f"^{BARE}$") & (F.col("fill") != "[object Object]"))
+    marks = marks.withColumn("name", F.regexp_replace("fill", r"^[\[\]{}<>%$#@_=!&;\-\s]+(?:lt;)?|\|[^|]*$|(?:&gt;)?[\[\]{}<>%$#@_=!&;\-\s]+$", ""))
+    names = marks.where("strict and name <> ''").select("name").distinct().withColumn("known", F.lit(True))
+    marks = marks.join(names, "name", "left").where("not bare or known")
+    marks = staged(marks, "marks")
     raw = F.max((~F.col("strict")).cast("int")) == 1
-    by_text = slots.groupBy("frame", "hash").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi"), F.max(F.col("template").cast("int")).alias("template"), raw.alias("raw"))
+    by_text = marks.groupBy("frame", "hash").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi"), F.max(F.col("template").cast("int")).alias("template"), raw.alias("raw"))
     frames = by_text.groupBy("frame").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.avg("template").alias("whole"), F.bool_or("raw").alias("raw"))
     filled = _filled(every, frames.where("lo = hi and frame <> '□' and (n > 1 or raw)").select("frame", "raw")).withColumn("filled", F.lit(True))
-    held = slots.join(frames.drop("raw"), "frame").join(filled, "frame", "left")
-    held = held.where("lo <> hi or ((n = 1 or whole >= 0.5) and strict and name <> '') or frame = '□' or (filled and not bare)").select("k", "field")
-    return whole.unionByName(notices).unionByName(held).distinct().withColumnRenamed("k", key)
+    held = marks.join(frames.drop("raw"), "frame").join(filled, "frame", "left")
+    by_others = F.coalesce((F.col("lo") != F.col("hi")) | (F.col("filled") & ~F.col("bare")), F.lit(False))
+    held = held.where(by_others | F.expr("((n = 1 or whole >= 0.5) and strict and name <> '') or frame = '□'")).select("k", "field", F.when(by_others, "a slot").otherwise("e syntax").alias("evidence"))
+    found = aligned.unionByName(whole).unionByName(notices).unionByName(held).groupBy("k", "field").agg(F.min("evidence").alias("evidence"))
+    return found.select(F.col("k").alias(key), "field", F.substring("evidence", 3, 10).alias("evidence"))
+
+
+def flagged(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field) of the fields of df that hold residue, filler, an error message or a notice."""
+    return evidence(df, key, fields).select(key, "field")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The titles and contents of posts that are a template's, a server's or an access check's."""
     return flagged(table(spark, sf_dir, "posts", "post_seq", "title", "content"), "post_seq", ["title", "content"])
+
+
+def p3_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found fields per field and evidence: how many come from aligned records, how many from single ones."""
+    got = evidence(table(spark, sf_dir, "posts", "post_seq", "title", "content"), "post_seq", ["title", "content"])
+    return got.groupBy("field", "evidence").agg(F.count("*").alias("fields"))
