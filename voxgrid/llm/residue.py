@@ -19,9 +19,14 @@ repetition is the sign, and nothing is gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxgrid.llm.codepoints import points_of, slices, strings_of
 from voxgrid.session import staged, table
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_. ]{0,40}"
@@ -121,8 +126,8 @@ def _plain(u: Column) -> Column:
     return F.regexp_replace(F.lower(u), "[0-9]+", "0")
 
 
-def _filled(texts: DataFrame, frames: DataFrame) -> DataFrame:
-    """The frames whose slot holds FILLS different ordinary values in units of (text). frames: (frame, raw), of one slot each.
+def _filled(units: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frames whose slot holds FILLS different ordinary values in units of (u). frames: (frame, raw), of one slot each.
 
     Units and frames meet by the first or the last ANCHOR characters.
     """
@@ -134,7 +139,7 @@ def _filled(texts: DataFrame, frames: DataFrame) -> DataFrame:
     n = sides.count()
     if not n:
         return sides.select("frame")
-    units = texts.select(F.explode(_units(F.col("text"), _PART)).alias("u")).select("u", _plain(F.col("u")).alias("plain"))
+    units = units.select("u", _plain(F.col("u")).alias("plain"))
     units = units.select("u", "plain", F.explode(F.array(F.concat(F.lit("<"), F.left("plain", F.lit(ANCHOR))), F.concat(F.lit(">"), F.right("plain", F.lit(ANCHOR))))).alias("at"))
     near = units.join(F.broadcast(sides) if n <= BROADCAST_FRAMES else sides, "at")
     near = near.where(F.startswith("plain", F.col("before")) & F.endswith("plain", F.col("after")) & ~F.col("u").rlike(SLOT))
@@ -144,8 +149,11 @@ def _filled(texts: DataFrame, frames: DataFrame) -> DataFrame:
     return values.groupBy("frame").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= FILLS).select("frame")
 
 
+#: Blanks, and signs that end a unit; a dot does at the end of a word or doubled.
+_SPACES = np.array([9, 32, 0xA0, 0x3000, *range(0x2000, 0x200B)])
+_SIGNS = np.array([ord(c) for c in "，,。！？；…;!?\r\n"])
 #: Lengths of the first or last characters by which units meet, longest values of a slot and least characters of its frame.
-ANCHORS, SLOT_VALUE, FRAME = (3, 5, 8, 13), 24, 3
+ANCHORS, SLOT_VALUE, FRAME = (3, 6, 11), 24, 3
 #: A raw missing value needs so many characters of frame, on both of its sides.
 RAW_FRAME = 6
 #: Words for fields of a form or a record, of which a variable's name is made.
@@ -215,26 +223,69 @@ def slots(units: DataFrame) -> DataFrame:
     return held.unionByName(blank).groupBy("u").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _aligned(u: Column) -> Column:
-    return F.regexp_replace(F.lower(u), r"(?<=\p{IsHan})[\s\p{Z}]+(?=\p{IsHan})", "")
-
-
-def induced(texts: DataFrame) -> DataFrame:
-    """(k, field) of the fields of (k, field, text) with residue in an induced slot.
+def parts(texts: DataFrame) -> DataFrame:
+    """(k, field, hole, size, u): the units of (k, field, text) as they are aligned, in lower case and without blanks between Han
+    characters; hole: whether the text shows one, size: its units. Whole batches are cut at once."""
+    ids = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in ("k", "field"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 3):
+                cps, row = points_of(part.column(3))
+                n = len(cps)
+                if not n:
+                    continue
+                at = np.arange(n)
+                change = np.append(True, row[1:] != row[:-1])
+                space = np.isin(cps, _SPACES)
+                last = np.append(change[1:], True)
+                follow = np.append(cps[1:], 32)
+                sign = np.isin(cps, _SIGNS) | ((cps == 46) & (last | np.isin(follow, _SPACES) | (follow == 46)))
+                sign |= (cps == 46) & np.append(False, (cps[:-1] == 46) & ~change[1:])
+                unit = np.cumsum(change | np.append(False, sign[:-1])) - 1
+                content = np.flatnonzero(~space & ~sign & (cps != 0x3010) & (cps != 0x3011))
+                units, first = np.unique(unit[content], return_index=True)
+                if not len(units):
+                    continue
+                begin, end = np.full(unit[-1] + 1, n), np.full(unit[-1] + 1, -1)
+                begin[units] = content[first]
+                end[units] = content[np.append(first[1:], len(content)) - 1]
+                han = (cps >= 0x3400) & (cps <= 0x9FFF)
+                before = np.maximum.accumulate(np.where(space, 0, at))
+                after = np.minimum.accumulate(np.where(space, n - 1, at)[::-1])[::-1]
+                keep = ~sign & (at >= begin[unit]) & (at <= end[unit]) & ~(space & han[before] & han[after])
+                number = np.full(unit[-1] + 1, 0)
+                number[units] = np.arange(len(units))
+                u = strings_of(cps[keep], number[unit[keep]], pa.array(np.zeros(len(units), np.int8)))
+                of = row[begin[units]]
+                size = np.bincount(of, minlength=part.num_rows)[of]
+                of = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(of) for i in range(3)], pa.array(size.astype(np.int32)), u], ["k", "field", "hole", "size", "u"])
+
+    rows = texts.select("k", "field", F.col("text").rlike(HOLE).alias("hole"), F.lower("text").alias("text"))
+    return rows.mapInArrow(run, f"{ids}, hole boolean, size int, u string")
+
+
+def induced(pieces: DataFrame, units: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(k, field) of the fields with residue in an induced slot; of the records of only (k), where it is given.
+
+    pieces: the units of the fields, as parts() gives them. units: (u, n), the distinct ones and how many there are.
 
     A blank counts where the reader sees the hole, or in a record that is nothing but template: two blank slots or more
     in half of its units, and for the rest units that other records hold as well.
     """
-    parts = texts.select("k", "field", F.col("text").rlike(HOLE).alias("hole"), F.transform(_units(F.col("text"), _PART), _aligned).alias("us"))
-    parts = staged(parts.where("size(us) > 0").select("k", "field", "hole", F.size("us").alias("size"), F.explode("us").alias("u")), "parts")
-    units = staged(parts.groupBy("u").agg(F.count("*").alias("n")), "alignable")
-    held = staged(slots(units).join(units, "u"), "held")
-    rows = parts.join(held, "u").groupBy("k", "field").agg(
+    wanted = pieces if only is None else pieces.join(only, "k", "left_semi")
+    near = units
+    if only is not None:  # units that share no key with those of the wanted records can't belong to their frames
+        keys = _anchored(wanted.select("u").distinct()).select("at").distinct()
+        near = _anchored(units).join(keys, "at", "left_semi").select("u", "n").distinct()
+    held = staged(slots(near).join(units, "u"), "held")
+    rows = wanted.join(held, "u").groupBy("k", "field").agg(
         F.max(F.size(F.array_except("kinds", F.array(F.lit("blank")))) > 0).alias("full"), F.max("hole").alias("hole"), F.sum(F.array_contains("kinds", "blank").cast("int")).alias("blanks"), F.max("size").alias("size"),
     )
     sure = F.col("full") | ((F.col("blanks") > 0) & F.col("hole"))
     rows = staged(rows.where(sure | ((F.col("blanks") > 1) & (2 * F.col("blanks") >= F.col("size")))).withColumn("sure", sure), "blanks")
-    fixed = parts.join(rows.where("not sure").select("k", "field"), ["k", "field"], "left_semi").join(units, "u").join(held.select("u", F.lit(True).alias("slot")), "u", "left")
+    fixed = wanted.join(rows.where("not sure").select("k", "field"), ["k", "field"], "left_semi").join(units, "u").join(held.select("u", F.lit(True).alias("slot")), "u", "left")
     fixed = fixed.groupBy("k", "field", "size").agg(F.count_if(F.col("slot") | (F.col("n") > 1)).alias("known")).where("known = size").select("k", "field")
     return rows.where("sure").select("k", "field").unionByName(fixed)
 
@@ -242,23 +293,25 @@ def induced(texts: DataFrame) -> DataFrame:
 def repeated_pages(texts: DataFrame) -> DataFrame:
     """(k, field) of the fields of (k, field, text) that are a page which many repeat, in a system's words."""
     page = F.trim(_plain(F.col("text")))
-    words = F.size(F.array_distinct(F.regexp_extract_all(page, F.lit(f"({_SYSTEM})"), F.lit(1))))
-    rows = texts.withColumn("page", page).where((words >= SYSTEM_WORDS) & ~F.col("page").rlike(_PERSON)).select("k", "field", F.xxhash64("page", F.length("page")).alias("page"))
-    rows = staged(rows, "pages")
-    many = rows.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED)
-    return rows.join(many, "page").select("k", "field")
+    rows = texts.select("k", "field", F.xxhash64(page, F.length("text") > 0).alias("h1"), F.xxhash64(F.lit(1), page).alias("h2"), page.alias("page"))
+    many = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED).select("h1", "h2")
+    words = F.size(F.array_distinct(F.regexp_extract_all("page", F.lit(f"({_SYSTEM})"), F.lit(1))))
+    rows = rows.join(many, ["h1", "h2"])
+    return rows.where((words >= SYSTEM_WORDS) & ~F.col("page").rlike(_PERSON)).select("k", "field")
 
 
-def evidence(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def evidence(df: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
     """(key, field, evidence) of the fields of df that hold residue, filler, an error message or a notice.
 
     evidence: slot and page come from aligned records, filler, notice and syntax from the exact check of single ones.
+    only: the keys for which a verdict is wanted; it is the same as without, since frames and pages are counted over all rows.
     """
     texts = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     texts = texts.select("k", "x.field", "x.text").where(F.col("text").rlike(r"[^\s\p{Z}]"))
     notice, chrome = f"(?i){NOTICE}", f"(?i){CHROME}"
-    every = texts.select("text")
-    aligned = induced(texts).withColumn("evidence", F.lit("a slot")).unionByName(repeated_pages(texts).withColumn("evidence", F.lit("b page")))
+    pieces = staged(parts(texts), "parts")
+    units = staged(pieces.groupBy("u").agg(F.count("*").alias("n")), "alignable")
+    aligned = induced(pieces, units, None if only is None else only.select(F.col(key).alias("k"))).withColumn("evidence", F.lit("a slot")).unionByName(repeated_pages(texts).withColumn("evidence", F.lit("b page")))
     # the exact check: most fields hold no sign of any of this, and patterns over the whole text spare them the cutting into units
     lorem = F.col("text").rlike(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|incididunt|aliqua|nostrud|ullamco|commodo)\b")
     texts = texts.where(F.col("text").rlike(notice) | F.col("text").rlike(SLOT) | lorem | F.col("text").rlike(f"(?i){FILLER_WORDS}") | F.col("text").rlike(r"(?i)<html|^\s*\{"))
@@ -287,7 +340,7 @@ def evidence(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     # slots: aligned records fill the same slot differently
     marks = rows.where("slot").select("k", "field", "template", "hash", F.lower(F.regexp_replace("u", SLOT, "□")).alias("frame"), F.explode(F.regexp_extract_all("u", F.lit(f"({SLOT})"), F.lit(1))).alias("fill"))
-    marks = marks.withColumn("frame", F.regexp_replace("frame", "[0-9]+", "0")).withColumn("strict", F.col("fill").rlike(f"^(?:{STRICT})$")).withColumn("bare", F.col("fill").rlike(f"^{BARE}$") & (F.col("fill") != "[object Object]"))
+    marks = marks.withColumn("frame", F.regexp_replace(F.regexp_replace("frame", "[0-9]+", "0"), r"(?<=\p{IsHan})[\s\p{Z}]+(?=\p{IsHan})", "")).withColumn("strict", F.col("fill").rlike(f"^(?:{STRICT})$")).withColumn("bare", F.col("fill").rlike(f"^{BARE}$") & (F.col("fill") != "[object Object]"))
     marks = marks.withColumn("name", F.regexp_replace("fill", r"^[\[\]{}<>%$#@_=!&;\-\s]+(?:lt;)?|\|[^|]*$|(?:&gt;)?[\[\]{}<>%$#@_=!&;\-\s]+$", ""))
     names = marks.where("strict and name <> ''").select("name").distinct().withColumn("known", F.lit(True))
     marks = marks.join(names, "name", "left").where("not bare or known")
@@ -295,7 +348,7 @@ def evidence(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     raw = F.max((~F.col("strict")).cast("int")) == 1
     by_text = marks.groupBy("frame", "hash").agg(F.min("fill").alias("lo"), F.max("fill").alias("hi"), F.max(F.col("template").cast("int")).alias("template"), raw.alias("raw"))
     frames = by_text.groupBy("frame").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.avg("template").alias("whole"), F.bool_or("raw").alias("raw"))
-    filled = _filled(every, frames.where("lo = hi and frame <> '□' and (n > 1 or raw)").select("frame", "raw")).withColumn("filled", F.lit(True))
+    filled = _filled(units, frames.where("lo = hi and frame <> '□' and (n > 1 or raw)").select("frame", "raw")).withColumn("filled", F.lit(True))
     held = marks.join(frames.drop("raw"), "frame").join(filled, "frame", "left")
     by_others = F.coalesce((F.col("lo") != F.col("hi")) | (F.col("filled") & ~F.col("bare")), F.lit(False))
     held = held.where(by_others | F.expr("((n = 1 or whole >= 0.5) and strict and name <> '') or frame = '□'")).select("k", "field", F.when(by_others, "a slot").otherwise("e syntax").alias("evidence"))
@@ -303,9 +356,10 @@ def evidence(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return found.select(F.col("k").alias(key), "field", F.substring("evidence", 3, 10).alias("evidence"))
 
 
-def flagged(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field) of the fields of df that hold residue, filler, an error message or a notice."""
-    return evidence(df, key, fields).select(key, "field")
+def flagged(df: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+    """(key, field) of the fields of df, or of those of the keys of only, that hold residue, filler, an error message or a notice."""
+    got = evidence(df, key, fields, only).select(key, "field")
+    return got if only is None else got.join(only, key, "left_semi")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

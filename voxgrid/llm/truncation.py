@@ -336,7 +336,9 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
     direct = staged(cuts(texts.select("src", "row_id", "post", "kind", "source", "text")), "cuts")
     posts = table(spark, sf_dir, "posts", "post_seq", "id", "content")
-    residue = flagged(posts.select("post_seq", "content"), "post_seq", ["content"]).select("post_seq")
+    suspects = direct.where("kind = 'post'").select(F.col("post").alias("id")).distinct()
+    suspects = staged(posts.join(suspects, "id", "left_semi").select("post_seq"), "suspects")
+    residue = flagged(posts.select("post_seq", "content"), "post_seq", ["content"], suspects).select("post_seq")
     residue = staged(posts.join(residue, "post_seq", "left_semi").select(F.col("id").alias("post"), F.lit("post").alias("kind")).distinct(), "residue")
     direct = direct.join(residue, ["post", "kind"], "left_anti")
     cut = direct.where("src = 'posts'").select(F.col("row_id").alias("post_seq")).distinct()
