@@ -280,7 +280,7 @@ def labelled_tokens(rows: list[list[tuple[str, str]]]) -> tuple[Tokens, np.ndarr
 
 
 @functools.cache
-def trained(copies: int = 24) -> Field:
+def trained(copies: int = 12) -> Field:
     """The field trained on the labelled table, once per process."""
     field = Field()
     field.train(*labelled_tokens(labelled.rows(copies)))
@@ -301,7 +301,8 @@ def valid(tag: str, text: str) -> bool:
     if tag == "E":
         return bool(_MAIL.match(text))
     if tag == "P":
-        return 7 <= len(digits) <= 15 and not _TOLL.match(digits) and len(digits) != 18
+        bare = re.fullmatch(r"\d{11}", text)  # eleven digits in a row are a mobile number, or one with its area code
+        return 7 <= len(digits) <= 15 and not _TOLL.match(digits) and (not bare or bool(re.match(r"1[3-9]|0", text)))
     if tag == "I":
         compact = re.sub(r"[\s-]", "", text)
         if re.fullmatch(r"\d{17}[\dXx]", compact):
@@ -312,6 +313,22 @@ def valid(tag: str, text: str) -> bool:
     return (2 <= len(text) <= 4 if "一" <= text[0] <= "鿿" else bool(re.fullmatch(r"[^\W\d_]+(?: [^\W\d_]\.?)? [^\W\d_'-]+", text)))
 
 
+_MAIL_IN = re.compile(_MAIL.pattern[1:-1], re.I)
+#: Characters that make a preposition of the family name 于.
+_BEFORE_YU = set("属由关对终等在大小至高低善过便基")
+_ARTICLE = re.compile(r"(?<![A-Za-z])(?:the|an?|my|your|our|this|that|these|those)\s+$", re.I)
+
+
+def checked(tag: str, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The part of a span that can be what it is labelled as: an address without the words beside it, a name without an article."""
+    if tag == "E":
+        m = _MAIL_IN.search(text, a, b)
+        return m.span() if m else None
+    if tag == "N" and (_ARTICLE.search(text, max(a - 8, 0), a) or (text[a] == "于" and text[max(a - 1, 0) : a] in _BEFORE_YU)):
+        return None
+    return (a, b) if valid(tag, text[a:b]) else None
+
+
 class Finder:
     """Finds the spans of texts with a trained field, keeping what it knows of clauses."""
 
@@ -368,8 +385,9 @@ class Finder:
                 at = 0
                 for i, k in enumerate(keys):
                     for a, b, tag in known[k]:
-                        if valid(tag, plain[at + a : at + b]):
-                            x, y = at + a, at + b
+                        span = checked(tag, plain, at + a, at + b)
+                        if span:
+                            x, y = span
                             got.append((places[x], places[y - 1] + 1, tag) if places else (x, y, tag))
                     at += len(clauses[2 * i]) + (len(clauses[2 * i + 1]) if 2 * i + 1 < len(clauses) else 0)
             out.append(got)
