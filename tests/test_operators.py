@@ -117,7 +117,7 @@ def test_cooccurrence_against_reading(spark):
     for d in docs:
         df.update(set(d))
         both.update({tuple(sorted((d[i], d[j]))) for i in range(len(d)) for j in range(i + 1, min(i + 4, len(d))) if d[i] != d[j]})
-    want = {k: round(math.log(n * len(docs) / (df[k[0]] * df[k[1]])), 3) for k, n in both.items() if n >= 3}
+    want = {k: round(math.log(n * sum(map(bool, docs)) / (df[k[0]] * df[k[1]])), 3) for k, n in both.items() if n >= 3}
     got = tokens.cooccurrence(spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc long, tokens array<string>"), k=None).collect()
     assert {(r.source, r.target): r.n for r in got} == {k: both[k] for k in want}
     assert all(math.isclose(r.weight, want[r.source, r.target], abs_tol=2e-3) for r in got)
@@ -137,7 +137,7 @@ def test_communities():
 def test_suppression(spark):
     rows = [("音质 很好", 5, 3.0, 0.1, [1]), ("音质", 4, 3.0, 0.1, [1]), ("别的", 9, 1.0, 0.0, [2])]
     got = tokens.suppressed(spark.createDataFrame(rows, "phrase string, n long, pmi double, sentiment double, samples array<long>"))
-    assert [r["phrase"] for r in got] == ["音质 很好", "别的"]
+    assert [r.phrase for r in got.collect()] == ["音质 很好", "别的"]
 
 
 def test_supported_findings(spark):

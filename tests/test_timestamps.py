@@ -38,6 +38,19 @@ CASES = [
     ("2025-13-07", "Asia/Shanghai", "ymd", None),
     ("0000-00-00 00:00:00", "Asia/Shanghai", "ymd", None),
     ("2025-01-07 25:00", "Asia/Shanghai", "ymd", None),
+    ("5 May", "Europe/London", "dmy", "2026-05-04T23:00:00Z"),
+    ("5 Nov 07:10", "Europe/London", "dmy", "2025-11-05T07:10:00Z"),
+    ("March 5th, 2026", "America/New_York", "mdy", "2026-03-05T05:00:00Z"),
+    ("the 5th", "America/New_York", "mdy", None),
+    ("2nd of March 2026, 4:05 PM", "Europe/Berlin", "dmy", "2026-03-02T15:05:00Z"),
+    ("2026年5月4日 10时30分", "Asia/Shanghai", "ymd", "2026-05-04T02:30:00Z"),
+    ("2026年5月4日下午3点", "Asia/Shanghai", "ymd", "2026-05-04T07:00:00Z"),
+    ("5月4日 8时5分9秒", "Asia/Shanghai", "ymd", "2026-05-04T00:05:09Z"),
+    ("2026-05-04 10:00 Europe/Paris", "Asia/Shanghai", "ymd", "2026-05-04T08:00:00Z"),
+    ("2026-05-04 America/New_York", None, None, "2026-05-04T04:00:00Z"),
+    ("2026-05-04 10:00 Europe/Atlantis", "Asia/Shanghai", "ymd", "2026-05-04T02:00:00Z"),
+    ("1780195688.75", None, None, "2026-05-31T02:48:08Z"),
+    (" " * 220 + "2026-05-04 10:00" + "\u3000" * 300, "Asia/Shanghai", "ymd", "2026-05-04T02:00:00Z"),
     ("", "Asia/Shanghai", "ymd", None),
     ("  ", "Asia/Shanghai", "ymd", None),
     ("NaN", "Asia/Shanghai", "ymd", None),

@@ -61,12 +61,17 @@ def cooldown_minutes(level: Column) -> Column:
     return F.least(F.lit(C.COOLDOWN_BASE) * F.pow(F.lit(2), level), F.lit(C.COOLDOWN_MOST)).cast("int")
 
 
-def time_bucket(day: Column) -> Column:
-    """Thirds of the span of all days as 0, 1, 2; 0 where there is no span, unknown where there is no day."""
-    lo, hi = F.min(day).over(W.partitionBy()), F.max(day).over(W.partitionBy())
-    span = F.datediff(hi, lo)
-    third = F.least(F.lit(2), F.floor(F.datediff(day, lo) * 3 / F.when(span > 0, span))).cast("string")
-    return F.when(day.isNull(), "unknown").when(span <= 0, "0").otherwise(third)
+def span(df: DataFrame, day: str) -> tuple[Column, Column]:
+    """The first and the last day of a table, by one aggregation."""
+    lo, hi = df.agg(F.min(day), F.max(day)).first()
+    return F.lit(lo).cast("date"), F.lit(hi).cast("date")
+
+
+def time_bucket(day: Column, lo: Column, hi: Column) -> Column:
+    """Thirds of the span from lo to hi as 0, 1, 2; 0 where there is no span, unknown where there is no day."""
+    days = F.datediff(hi, lo)
+    third = F.least(F.lit(2), F.floor(F.datediff(day, lo) * 3 / F.when(days > 0, days))).cast("string")
+    return F.when(day.isNull(), "unknown").when(days <= 0, "0").otherwise(third)
 
 
 def percent(x: Column) -> Column:

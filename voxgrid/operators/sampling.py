@@ -11,7 +11,7 @@ from voxgrid.functions import stats as S
 
 def uniform(seed: int, id: str) -> Column:
     """A number in (0, 1) that depends on seed and id only."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id)), 11) + 0.5) / (1 << 53)
 
 
 def weighted_sample(df: DataFrame, id: str, weight: Column, k: int, seed: int = 1) -> DataFrame:

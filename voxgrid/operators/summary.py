@@ -233,7 +233,7 @@ def consumer_voice(posts: DataFrame, comments: DataFrame, items: DataFrame, targ
 
 
 def trend_direction(trend: DataFrame, band: float = C.TREND_BAND) -> DataFrame:
-    """Mean of the daily means of the first and the second half of the days, and the way they go."""
+    """Mean of the daily means of the first and the second half of the days, the way they go, and the days of most items and of most negative ones."""
     days = trend.where(F.col("day") != C.UNKNOWN_DATE)
     w = W.orderBy("day")
     rows = days.select("day", "n", "avg_score", "negative", F.row_number().over(w).alias("k"), F.count("*").over(W.partitionBy()).alias("m"))
@@ -241,7 +241,7 @@ def trend_direction(trend: DataFrame, band: float = C.TREND_BAND) -> DataFrame:
     a, b = F.round(F.avg(F.when(first, F.col("avg_score"))) + F.lit(1e-9), 3), F.round(F.avg(F.when(~first, F.col("avg_score"))) + F.lit(1e-9), 3)
     way = F.when(F.col("late") - F.col("early") > band, "up").when(F.col("early") - F.col("late") > band, "down").otherwise("flat")
     peak = F.min_by("day", F.struct(-F.col("n"), "day"))
-    worst = F.min_by("day", F.struct(F.col("avg_score"), "day"))
+    worst = F.min_by("day", F.struct(-F.col("negative"), "day"))
     return rows.agg(a.alias("early"), b.alias("late"), peak.alias("peak_day"), worst.alias("worst_day")).withColumn("direction", way)
 
 

@@ -12,6 +12,9 @@ null as well. Extra columns pass through untouched, since all work columns carry
 
 from __future__ import annotations
 
+import re
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,9 @@ UNITS = {
     "天": 86400, "日": 86400, "day": 86400, "周": 604800, "星期": 604800, "week": 604800,
 }
 #: The components that a match is rewritten into; a group of the pattern is one of these plus a number.
-PARTS = ("y", "m", "d", "a", "b", "mon", "h", "i", "s", "ap", "z", "e", "n", "u", "day", "md")
+PARTS = ("y", "m", "d", "a", "b", "mon", "h", "i", "s", "ap", "z", "zi", "e", "n", "u", "day", "md")
+#: The names of zones that a text may give after a time.
+ZONES = sorted(z for z in available_timezones() if re.fullmatch(r"[A-Z][a-z]+/[A-Z][A-Za-z_/+-]+", z))
 
 _SEP = "\x01"
 #: A zero that Catalyst takes for non-deterministic. Added to a result, it keeps filters on that result above the
@@ -65,7 +70,11 @@ def _pattern() -> tuple[str, str]:
         return f"{g('h', '[0-9]{1,2}')}:{g('i', '[0-9]{2}')}{s}"
 
     def zone() -> str:
-        return g("z", r"(?:(?:UTC|GMT)?[+-][0-9]{1,2}(?::?[0-9]{2})?|Z|\b[A-Z]{2,5}\b)")
+        named = g("zi", r"\b[A-Z][a-z]+/[A-Z][A-Za-z_/+-]+")
+        return rf"(?:{named}|{g('z', r'(?:(?:UTC|GMT)?[+-][0-9]{1,2}(?::?[0-9]{2})?|Z|\b[A-Z]{2,5}\b)')})"
+
+    def han_clock() -> str:
+        return rf"(?:{clock()}|{g('h', '[0-9]{1,2}')}[时点](?:{g('i', '[0-9]{1,2}')}分?(?:{g('s', '[0-9]{1,2}')}秒?)?)?)"
 
     def ap() -> str:
         return g("ap", r"[AaPp]\.?[Mm]\.?")
@@ -73,26 +82,27 @@ def _pattern() -> tuple[str, str]:
     month = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
     month = f"(?i:{month})"
     week = r"(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
+    nth = r"(?:(?i:st|nd|rd|th))?"
     place = r"(?:\s*(?:来自|发布于)?\s*[\p{IsHan}]+)?"
     units = "|".join(sorted((u for u in UNITS), key=len, reverse=True))
     branches = [
         # 2026-05-04, 2026/5/4, 2026.05.04 with or without clock, fraction, zone
         f"{g('y', '[0-9]{4}')}[-/.]{g('m', '[0-9]{1,2}')}[-/.]{g('d', '[0-9]{1,2}')}"
-        + rf"(?:(?:T|\s+){clock()}(?:\s*{ap()})?(?:\s*{zone()})?)?{place}",
+        + rf"(?:(?:T|\s+){clock()}(?:\s*{ap()})?(?:\s*{zone()})?|\s+{zone()})?{place}",
         f"{g('y', '[0-9]{4}')}年{g('m', '[0-9]{1,2}')}月{g('d', '[0-9]{1,2}')}日"
-        + rf"(?:\s*{g('ap', '上午|下午|凌晨|早上|中午|晚上')}?\s*{clock()}(?:\s*{zone()})?)?{place}",
+        + rf"(?:\s*{g('ap', '上午|下午|凌晨|早上|中午|晚上')}?\s*{han_clock()}(?:\s*{zone()})?)?{place}",
         # 20260504, 20260504T101112, 20260504101112
         f"{g('y', '[0-9]{4}')}{g('m', '[0-9]{2}')}{g('d', '[0-9]{2}')}"
         + f"(?:T?{g('h', '[0-9]{2}')}:?{g('i', '[0-9]{2}')}(?::?{g('s', '[0-9]{2}')}(?:[.,][0-9]+)?)?(?:{zone()})?)?",
         # epoch seconds, milliseconds, microseconds, nanoseconds
-        g("e", "[0-9]{19}|[0-9]{16}|[0-9]{13}|[0-9]{10}"),
+        rf"{g('e', '[0-9]{19}|[0-9]{16}|[0-9]{13}|[0-9]{10}')}(?:\.[0-9]+)?",
         # Mon, 03 Aug 2026 12:57:43 +0800
-        rf"{week}{g('d', '[0-9]{1,2}')}\s+{g('mon', month)}\s+{g('y', '[0-9]{4}')}"
+        rf"{week}{g('d', '[0-9]{1,2}')}{nth}\s+(?:of\s+)?{g('mon', month)}(?:,?\s+{g('y', '[0-9]{4}')})?"
         + rf"(?:,?\s+{clock()}(?:\s*{ap()})?(?:\s*{zone()})?)?",
         # Wed Sep 30 02:37:18 +0800 2026
         rf"{week}{g('mon', month)}\s+{g('d', '[0-9]{1,2}')}\s+{clock()}(?:\s+{zone()})?\s+{g('y', '[0-9]{4}')}",
         # Apr 12, 19:28 / Jan 20, 2025 / Jan 20, 2025, 10:11 PM
-        rf"{week}{g('mon', month)}\s+{g('d', '[0-9]{1,2}')}(?:,?\s+{g('y', '[0-9]{4}')})?"
+        rf"{week}{g('mon', month)}\s+{g('d', '[0-9]{1,2}')}{nth}(?:,?\s+{g('y', '[0-9]{4}')})?"
         + rf"(?:,?\s+(?:at\s+)?{clock()}(?:\s*{ap()})?(?:\s*{zone()})?)?",
         # 08/30/2026 6:48 PM, 06.07.2025 15:26
         f"{g('a', '[0-9]{1,2}')}[-/.]{g('b', '[0-9]{1,2}')}[-/.]{g('y', '[0-9]{4}')}"
@@ -101,7 +111,7 @@ def _pattern() -> tuple[str, str]:
         f"{g('a', '[0-9]{1,2}')}[-/]{g('b', '[0-9]{1,2}')}"
         + rf"(?:\s+{clock()}(?:\s*{ap()})?(?:\s*{zone()})?)?{place}",
         f"{g('m', '[0-9]{1,2}')}月{g('d', '[0-9]{1,2}')}日"
-        + rf"(?:\s*{g('ap', '上午|下午|凌晨|早上|中午|晚上')}?\s*{clock()})?{place}",
+        + rf"(?:\s*{g('ap', '上午|下午|凌晨|早上|中午|晚上')}?\s*{han_clock()})?{place}",
         rf"{g('n', '[0-9]{1,9}')}\s*(?:个\s*)?{g('u', f'(?i:{units})')}s?(?:钟)?\s*(?:之?前|(?i:ago))",
         g("md", r"刚刚|刚才|(?i:just now|now)"),
         rf"{g('day', '今天|昨天|前天|(?i:today|yesterday)')}(?:,?\s*(?:at\s+)?(?:{clock()}(?:\s*{ap()})?)?)",
@@ -155,7 +165,7 @@ def with_instant(
     p = "__ts_"
     raw = F.col(text)
     got = F.split(F.regexp_replace(F.translate(raw, _SEP, ""), PATTERN, REPLACEMENT), _SEP, -1)
-    df = df.withColumn(p + "c", F.when(raw.isNull() | (F.length(raw) > 200), None).otherwise(got))
+    df = df.withColumn(p + "c", F.when(raw.isNotNull(), got))
     df = df.withColumn(p + "c", F.when(F.size(p + "c") == len(PARTS) + 1, F.col(p + "c")))
     part = {k: f"{p}c[{i + 1}]" for i, k in enumerate(PARTS)}
     num = lambda k: f"try_cast(nullif({part[k]}, '') as bigint)"
@@ -172,6 +182,7 @@ def with_instant(
         f"coalesce({num('s')}, 0) as {p}s",
         f"case when {part['ap']} in ('下午', '晚上', '中午') or lower({part['ap']}) like 'p%' then 'p' when {part['ap']} <> '' then 'a' end as {p}ap",
         f"nullif({part['z']}, '') as {p}z",
+        f"case when {part['zi']} in ({', '.join(repr(z) for z in ZONES)}) then {part['zi']} end as {p}zi",
         f"nullif({part['e']}, '') as {p}e",
         f"{num('n')} as {p}n",
         f"lower({part['u']}) as {p}u",
@@ -216,7 +227,7 @@ def with_instant(
     df = df.selectExpr("*", f"cast({floor4(year_at)} as bigint) as {p}y1")
     df = df.selectExpr("*", f"cast({floor4(f'{p}y1 - 1')} as bigint) as {p}y2")
     clock = f"({p}h * 3600 + {p}i * 60 + {p}s)"
-    at_zone = lambda secs: f"if({p}off is not null, {secs} - {p}off * 60, {_to_utc(secs, p + 'tz')})"
+    at_zone = lambda secs: f"if({p}off is not null, {secs} - {p}off * 60, {_to_utc(secs, f'coalesce({p}zi, {p}tz)')})"
     first = f"({_days(p + 'y1', p + 'm', p + 'd')} * 86400 + {clock})"
     yearless = f"({p}y is null and {p}m is not null and {p}d is not null)"
     df = df.selectExpr("*", f"coalesce({p}y, if({yearless}, if({at_zone(first)} <= {p}at, {p}y1, {p}y2), null)) as {p}yy")
@@ -237,9 +248,9 @@ def with_instant(
             when {p}n is not null then {p}at - {p}n * {unit}
             when {p}back is not null then if({clock_ok} and {p}known, {_to_utc(back, p + 'tz')}, null)
             when not ({valid}) then null
-            when {p}off is null and not {p}known then null
+            when {p}off is null and {p}zi is null and not {p}known then null
             else {at_zone(wall)} end as bigint) + {_STAY} as {out}""",
-        f"({p}e is not null or {p}now or {p}n is not null or ({p}off is not null)) as {p}instant",
+        f"({p}e is not null or {p}now or {p}n is not null or {p}off is not null or {p}zi is not null) as {p}instant",
         f"if({valid}, {_days(p + 'yy', p + 'm', p + 'd')}, null) as {p}plain",
     )
     if out_day:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxgrid import config as C
+from voxgrid.session import staged
 
 #: Added before rounding sums of floats, so that ties don't depend on the order of summation.
 HAIR = 1e-9
@@ -67,18 +68,30 @@ def sentiment_sources(docs: DataFrame, least: int = C.SOURCE_LEAST, k: int = C.S
 def pairs_in_window(tokens: Column, window: int = C.COOC_WINDOW) -> Column:
     """The distinct unordered pairs of different tokens at most window places apart."""
     n = F.size(tokens)
-    at = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(
-        F.slice(tokens, i + 1, window), lambda b: F.struct(F.least(F.element_at(tokens, i), b).alias("a"), F.greatest(F.element_at(tokens, i), b).alias("b"))))
-    return F.when(n > 1, F.array_distinct(F.filter(F.flatten(at), lambda x: x.a != x.b))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    apart = lambda k: F.zip_with(F.slice(tokens, 1, F.greatest(n - k, F.lit(0))), F.slice(tokens, k + 1, F.greatest(n - k, F.lit(0))), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+    return F.array_distinct(F.filter(F.concat(*[apart(k) for k in range(1, window + 1)]), lambda x: x.a != x.b))
+
+
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(word, n): in how many of (tokens) each word occurs."""
+    return docs.select(F.explode_outer(F.array_distinct("tokens")).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """The documents with a token, segmented once and staged."""
+    return staged(docs.where(F.size("tokens") > 0), "tokens")
 
 
 def cooccurrence(docs: DataFrame, window: int = C.COOC_WINDOW, least: int = C.COOC_LEAST, k: int | None = C.COOC_TOP) -> DataFrame:
-    """Pairs of tokens near each other in at least `least` documents, with PMI by document frequencies; the k heaviest."""
-    rows = docs.select(pairs_in_window(F.col("tokens"), window).alias("ps"), F.array_distinct("tokens").alias("ws"))
+    """Pairs of tokens near each other in at least `least` documents, with PMI by document frequencies; the k heaviest.
+
+    Documents without a token don't count. docs: (tokens), segmented already where several steps use them.
+    """
+    rows = docs.where(F.size("tokens") > 0)
     n = rows.count()
-    words = rows.select(F.explode_outer("ws").alias("w")).where("w is not null").groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    words = document_frequency(rows).where(F.col("n") >= least).select(F.col("word").alias("w"), F.col("n").alias("df"))
     # an outer explode: the filter that Spark infers for an inner one would compute the pairs again below it
-    pairs = rows.select(F.explode_outer("ps").alias("p")).where("p is not null").groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    pairs = rows.select(F.explode_outer(pairs_in_window(F.col("tokens"), window)).alias("p")).where("p is not null").groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     side = lambda x: words.select(F.col("w").alias(x), F.col("df").alias(f"n_{x}"))
     got = pairs.join(side("a"), "a").join(side("b"), "b")
     pmi = F.ln(F.col("n").cast("double") * n / (F.col("n_a") * F.col("n_b")))
@@ -93,7 +106,7 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def trim_graph(edges: DataFrame, words: DataFrame, nodes: int = C.GRAPH_NODES, most: int = C.GRAPH_EDGES) -> DataFrame:
-    """The edges among the most frequent nodes, heaviest first. words: (word, n)."""
+    """The edges among the nodes in most documents, heaviest first. words: (word, n), document frequencies."""
     ends = edges.select(F.col("source").alias("word")).unionByName(edges.select(F.col("target").alias("word"))).distinct()
     top = ends.join(words, "word").orderBy(F.desc("n"), "word").limit(nodes).select("word")
     kept = edges.join(top.withColumnRenamed("word", "source"), "source", "left_semi").join(top.withColumnRenamed("word", "target"), "target", "left_semi")
@@ -131,18 +144,18 @@ def phrases(docs: DataFrame, least: int = C.PHRASE_LEAST, pmi: float = C.PHRASE_
     return got.where((F.col("pmi") >= pmi) | ((F.col("pmi") >= relaxed) & (F.abs("sentiment") >= 0.25))).select("phrase", "n", "pmi", "sentiment", "samples")
 
 
-def suppressed(found: DataFrame, k: int = C.PHRASE_TOP, pool: int = 2000) -> list[dict]:
+def suppressed(found: DataFrame, k: int = C.PHRASE_TOP) -> DataFrame:
     """The k best phrases, without those that a longer one of at least their count holds.
 
-    The rule is greedy from long to short, over the pool best candidates: a bounded list, on the driver.
+    A phrase that suppresses and is suppressed itself has a longer one that holds both, so one look suffices: every phrase
+    offers its count to the pieces of itself, of which it has few.
     """
-    rank = lambda r: (-(r["n"] * (1 + r["pmi"])), r["phrase"])
-    rows = [r.asDict() for r in found.orderBy(F.desc(F.col("n") * (1 + F.col("pmi"))), "phrase").limit(pool).collect()]
-    kept: list[dict] = []
-    for r in sorted(rows, key=lambda r: (-len(r["phrase"]), rank(r))):
-        if not any(r["phrase"] in o["phrase"] and o["n"] >= r["n"] for o in kept):
-            kept.append(r)
-    return sorted(kept, key=rank)[:k]
+    n = F.length("phrase")
+    lengths = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    pieces = F.flatten(F.transform(lengths, lambda w: F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substring(F.col("phrase"), i, w))))
+    longer = found.where(n > 1).select("n", F.explode(F.array_distinct(pieces)).alias("phrase")).groupBy("phrase").agg(F.max("n").alias("most"))
+    kept = found.join(longer, "phrase", "left").where(F.coalesce(F.col("most") < F.col("n"), F.lit(True))).drop("most")
+    return kept.orderBy(F.desc(F.col("n") * (1 + F.col("pmi"))), "phrase").limit(k)
 
 
 def topics(found: DataFrame, groups: dict[str, Sequence[str]] = C.SYNONYM_TOPICS, least: int = 2) -> DataFrame:
@@ -165,7 +178,7 @@ def dominant_dimension(docs: DataFrame) -> DataFrame:
 
 
 def communities(edges: list[tuple[str, str, float]], most: int = C.CLUSTERS_MOST) -> list[list[str]]:
-    """Communities of a small weighted graph by moving nodes to the neighbour community that gains most modularity.
+    """Communities (of one level, by local moves only) of a small weighted graph by moving nodes to the neighbour community that gains most modularity.
 
     Deterministic: nodes in order of name, ties to the smallest community name. More than `most` are
     merged: the largest stay, the rest become one. The graph is bounded (GRAPH_NODES).

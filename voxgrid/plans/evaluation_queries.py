@@ -11,7 +11,7 @@ from voxgrid.operators import sampling as P
 from voxgrid.plans.registry import query
 from voxgrid.session import table
 
-_PAIRS = "(select f.id, f.text_id, user_sentiment as gold, coalesce(nullif(model_sentiment, ''), 'neutral') as pred, status, coalesce(reason, '') as flags from feedback f where user_sentiment is not null and user_sentiment <> '')"
+_PAIRS = "(select f.id, f.text_id, user_sentiment as gold, coalesce(nullif(model_sentiment, ''), 'neutral') as pred, status, coalesce(reason, '') as flags, created_at from feedback f where user_sentiment is not null and user_sentiment <> '')"
 _ITEM = "(select text_id, max(confidence) as confidence, max(need_review) as flagged from coded_items group by 1)"
 
 
@@ -126,8 +126,8 @@ def prev_run_asof(spark, d):
     return E.previous_run(r).select("run_id", "previous", "previous_accuracy")
 
 
-def _segments(parity: int) -> str:
-    return f"(select 'model' as grp, pred as segment, count(*) as n, round(avg((gold = pred)::int), 4) as accuracy from {_PAIRS} where id % 2 = {parity} group by 2)"
+def _segments(earlier: int) -> str:
+    return f"(select 'model' as grp, pred as segment, count(*) as n, round(avg((gold = pred)::int), 4) as accuracy from {_PAIRS} where (created_at < (select substring(max(created_at), 1, 4) from feedback)) = ({earlier} = 1) group by 2)"
 
 
 def _half(a: str, n: str) -> str:
@@ -138,8 +138,10 @@ def _half(a: str, n: str) -> str:
 @query(f"""with j as (select a.grp, a.segment, a.n, a.accuracy, round((a.accuracy - b.accuracy) * 100, 2) as delta_pp, round(sqrt(pow({_half('a.accuracy', 'a.n::double')}, 2) + pow({_half('b.accuracy', 'b.n::double')}, 2)), 2) as width_pp from {_segments(0)} a left join {_segments(1)} b on b.segment = a.segment)
   select *, case when delta_pp is null then 'new' when abs(delta_pp) < 1 then 'flat' when width_pp is not null and abs(delta_pp) <= width_pp then 'within noise' when delta_pp > 0 then 'better' else 'worse' end as status from j""")
 def segment_compare(spark, d):
-    p = pairs(spark, d)
-    seg = lambda k: p.where(F.col("id") % 2 == k).groupBy(F.col("pred").alias("segment")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("int")), 4).alias("accuracy")).withColumn("grp", F.lit("model"))
+    """The feedback of the latest year against that of all years before."""
+    p = pairs(spark, d).join(table(spark, d, "feedback", "id", "created_at"), "id")
+    year = table(spark, d, "feedback", "created_at").agg(F.substring(F.max("created_at"), 1, 4)).first()[0]
+    seg = lambda k: p.where((F.col("created_at") < F.lit(year)) == bool(k)).groupBy(F.col("pred").alias("segment")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("int")), 4).alias("accuracy")).withColumn("grp", F.lit("model"))
     return E.compare_segments(seg(0), seg(1))
 
 

@@ -101,10 +101,12 @@ def run_compare(spark, d):
     return funnel.compare_runs(runs(spark, d))
 
 
-@query(_RUNS + " select channel, query from (select distinct channel, query from runs where run_seq % 2 = 0) a where not exists (select 1 from runs b where b.run_seq % 2 = 1 and b.channel = a.channel and b.query = a.query)")
+@query(_RUNS + ", l as (select max(run_seq) as last from runs) select channel, query from (select distinct channel, query from runs, l where run_seq = last) a where not exists (select 1 from runs b, l where b.run_seq < last and b.channel = a.channel and b.query = a.query)")
 def new_queries(spark, d):
+    """Queries of the latest run that no earlier run asked."""
     r = runs(spark, d)
-    return funnel.new_queries(r.where("run_seq % 2 = 0"), r.where("run_seq % 2 = 1"))
+    last = r.agg(F.max("run_seq")).first()[0]
+    return funnel.new_queries(r.where(F.col("run_seq") == F.lit(last)), r.where(F.col("run_seq") < F.lit(last)))
 
 
 @query(_BASE + ", w as (select distinct channel, keyword, 5 as wanted from b), k as (select channel, keyword, count(*) as kept from kept group by 1, 2) select w.channel, w.keyword, wanted, coalesce(kept, 0) as kept, greatest(wanted - coalesce(kept, 0), 0) as missing, case when coalesce(kept, 0) = 0 then 'nothing kept' when wanted > coalesce(kept, 0) then 'fewer than asked' else 'met' end as note from w left join k on k.channel = w.channel and k.keyword = w.keyword")

@@ -107,7 +107,7 @@ def weekly_trend(spark, d):
 
 @query(f"""with t as ({_TREND}), v as (select *, row_number() over (order by day) as k, count(*) over () as m from t where day <> '未知'),
   h as (select round(avg(avg_score) filter (where k <= floor(m / 2)) + 1e-9, 3) as early, round(avg(avg_score) filter (where k > floor(m / 2)) + 1e-9, 3) as late from v)
-  select early, late, (select day from v order by n desc, day limit 1) as peak_day, (select day from v order by avg_score, day limit 1) as worst_day,
+  select early, late, (select day from v order by n desc, day limit 1) as peak_day, (select day from v order by negative desc, day limit 1) as worst_day,
     case when late - early > 0.05 then 'up' when early - late > 0.05 then 'down' else 'flat' end as direction from h""")
 def trend_direction(spark, d):
     return S.trend_direction(S.date_trend(items(spark, d)))

@@ -63,13 +63,13 @@ def sentiment_sources(spark, d):
 
 _COOC = f"""with x as (select doc, unnest(tokens) as w, generate_subscripts(tokens, 1) as i from {DOCS} where len(tokens) > 0),
   p as (select distinct a.doc, least(a.w, b.w) as a, greatest(a.w, b.w) as b from x a join x b on a.doc = b.doc and b.i between a.i + 1 and a.i + 3 and a.w <> b.w),
-  c as (select a, b, count(*) as n from p group by 1, 2 having count(*) >= 3), f as (select w, count(distinct doc) as df from x group by 1), t as (select count(*) as n_docs from {DOCS}),
+  c as (select a, b, count(*) as n from p group by 1, 2 having count(*) >= 3), f as (select w, count(distinct doc) as df from x group by 1), t as (select count(*) as n_docs from {DOCS} where len(tokens) > 0),
   e as (select c.a as source, c.b as target, c.n, round(ln(c.n::double * n_docs / (fa.df * fb.df)), 3) as weight from c join f fa on fa.w = c.a join f fb on fb.w = c.b, t)"""
 
 
 @query(_COOC + " select * from e order by weight desc, n desc, source, target limit 30")
 def cooccurrence_pmi(spark, d):
-    return TK.cooccurrence(docs(spark, d))
+    return TK.cooccurrence(TK.tokenised(docs(spark, d)))
 
 
 _TOP = _COOC + ", k as (select * from e order by weight desc, n desc, source, target limit 30), v as (select unnest([source, target]) as word, weight, n, source, target from k)"
@@ -77,19 +77,19 @@ _TOP = _COOC + ", k as (select * from e order by weight desc, n desc, source, ta
 
 @query(_TOP + " select word, count(*) as degree, round(sum(weight), 3) as strength from v group by 1")
 def node_degree(spark, d):
-    return TK.node_degree(TK.cooccurrence(docs(spark, d)))
+    return TK.node_degree(TK.cooccurrence(TK.tokenised(docs(spark, d))))
 
 
-@query(_TOP + f""", wf as (select w as word, count(*) as n from x group by 1), tn as (select distinct v.word, wf.n from v join wf on wf.word = v.word order by wf.n desc, v.word limit 20)
+@query(_TOP + f""", wf as (select w as word, df as n from f), tn as (select distinct v.word, wf.n from v join wf on wf.word = v.word order by wf.n desc, v.word limit 20)
   select source, target, n, weight from k where source in (select word from tn) and target in (select word from tn) order by weight desc, n desc, source, target limit 20""")
 def graph_trim(spark, d):
-    x = docs(spark, d)
-    return TK.trim_graph(TK.cooccurrence(x), TK.word_freq(x, 1_000_000))
+    x = TK.tokenised(docs(spark, d))
+    return TK.trim_graph(TK.cooccurrence(x), TK.document_frequency(x))
 
 
 @query(_TOP + " select source, target, n from k order by n desc, source, target limit 10")
 def pair_rows(spark, d):
-    return TK.pair_rows(TK.cooccurrence(docs(spark, d)))
+    return TK.pair_rows(TK.cooccurrence(TK.tokenised(docs(spark, d))))
 
 
 _CLUSTERS = [["好用", "流畅", "顺手"], ["失望", "卡顿", "闪退"], ["great", "smooth"]]
@@ -104,32 +104,34 @@ def cluster_union_docs(spark, d):
 @query()
 def word_clusters(spark, d):
     """Communities of the trimmed graph and the documents that hold them."""
-    x = docs(spark, d)
-    edges = TK.trim_graph(TK.cooccurrence(x), TK.word_freq(x, 1_000_000))
+    x = TK.tokenised(docs(spark, d))
+    edges = TK.trim_graph(TK.cooccurrence(x), TK.document_frequency(x))
     return TK.cluster_docs(x, TK.communities([(r.source, r.target, r.weight) for r in edges.collect()]))
 
 
-@query(f"""with t as (select doc, score, tokens from {DOCS}), g as (select doc, score, tokens, unnest(range(1, len(tokens) + 1)) as i from t where len(tokens) > 1), k as (select doc, score, tokens[i:i + l - 1] as w from g, (select unnest([2, 3]) as l) where i + l - 1 <= len(tokens)),
+_PHRASES = f"""with t as (select doc, score, tokens from {DOCS}), g as (select doc, score, tokens, unnest(range(1, len(tokens) + 1)) as i from t where len(tokens) > 1), k as (select doc, score, tokens[i:i + l - 1] as w from g, (select unnest([2, 3, 4, 5]) as l) where i + l - 1 <= len(tokens)),
   p as (select distinct doc, score, w[1] as a, w[-1] as b, case when regexp_matches(array_to_string(w, ''), '^[a-z0-9]+$') then array_to_string(w, ' ') else array_to_string(w, '') end as phrase from k),
   f as (select w, count(*) as df from (select distinct doc, unnest(tokens) as w from t) group by 1), n as (select count(*) as n_docs from t),
   c as (select a, b, phrase, count(distinct doc) as n, round(avg(score) + 1e-9, 3) as sentiment, [min(doc)] as samples from p where length(phrase) <= 40 group by 1, 2, 3 having count(distinct doc) >= 2),
-  m as (select phrase, c.n, round(ln(c.n::double * n_docs / (fa.df * fb.df)), 3) as pmi, sentiment, samples from c join f fa on fa.w = a join f fb on fb.w = b, n)
-  select * from m where pmi >= 1.5 or (pmi >= 1.2 and abs(sentiment) >= 0.25)""")
+  m as (select phrase, c.n, round(ln(c.n::double * n_docs / (fa.df * fb.df)), 3) as pmi, sentiment, samples from c join f fa on fa.w = a join f fb on fb.w = b, n),
+  o as (select * from m where pmi >= 1.5 or (pmi >= 1.2 and abs(sentiment) >= 0.25))"""
+
+
+@query(_PHRASES + " select * from o")
 def ngram_phrases(spark, d):
-    return TK.phrases(docs(spark, d))
+    return TK.phrases(staged(docs(spark, d), "tokens"))
 
 
-@query()
+@query(_PHRASES + " select phrase, n, pmi, sentiment from o a where not exists (select 1 from o b where len(b.phrase) > len(a.phrase) and b.n >= a.n and contains(b.phrase, a.phrase)) order by n * (1 + pmi) desc, phrase limit 50")
 def phrases_suppressed(spark, d):
     """The best phrases without fragments of longer ones."""
-    rows = TK.suppressed(TK.phrases(docs(spark, d)))
-    return spark.createDataFrame([(r["phrase"], r["n"], r["pmi"], r["sentiment"]) for r in rows], "phrase string, n long, pmi double, sentiment double")
+    return TK.suppressed(staged(TK.phrases(staged(docs(spark, d), "tokens")), "phrases")).select("phrase", "n", "pmi", "sentiment")
 
 
 @query()
 def phrase_topics(spark, d):
     """Phrases coded to topics by polarity."""
-    return TK.topics(TK.phrases(docs(spark, d)))
+    return TK.topics(TK.phrases(staged(docs(spark, d), "tokens")))
 
 
 @query()
@@ -237,8 +239,8 @@ def normalized_dates(spark, d):
 
 @query("select bucket, count(*) as n from (select case when v is null then 'unknown' when span <= 0 then '0' else least(2, floor((v - lo) * 3.0 / span))::bigint::varchar end as bucket from (select v, min(v) over () as lo, max(v) over () - min(v) over () as span from (select collected_at::date as v from posts))) group by 1")
 def time_buckets(spark, d):
-    p = table(spark, d, "posts", "collected_at").select(S.time_bucket(F.to_date("collected_at")).alias("bucket"))
-    return p.groupBy("bucket").agg(F.count("*").alias("n"))
+    p = table(spark, d, "posts", "collected_at").select(F.to_date("collected_at").alias("day"))
+    return p.select(S.time_bucket(F.col("day"), *S.span(p, "day")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("with k as (select url, min(post_seq) as post_seq from posts group by 1) select post_seq from k")
@@ -309,7 +311,10 @@ def host_filter(spark, d):
     return K.by_host(table(spark, d, "posts", "platform", "url"), ["example"], ["bilibili"]).groupBy("platform").agg(F.count("*").alias("n"))
 
 
-@query("""with u as (select distinct url from posts where post_seq % 3 = 0 and url is not null) select count(*) as n from posts p where p.url is null or p.url not in (select url from u)""")
+@query("""with l as (select date_trunc('year', max(collected_at)) as y from posts), u as (select distinct url from posts, l where collected_at < y and url is not null)
+  select count(*) as n from posts p, l where collected_at >= y and (p.url is null or p.url not in (select url from u))""")
 def skip_seen(spark, d):
-    p = table(spark, d, "posts", "post_seq", "url")
-    return K.unseen(p, p.where("post_seq % 3 = 0")).agg(F.count("*").alias("n"))
+    """Posts collected in the latest year whose address no earlier year has seen."""
+    p = table(spark, d, "posts", "post_seq", "url", "collected_at")
+    year = p.agg(F.date_trunc("year", F.max("collected_at"))).first()[0]
+    return K.unseen(p.where(F.col("collected_at") >= F.lit(year)), p.where(F.col("collected_at") < F.lit(year))).agg(F.count("*").alias("n"))

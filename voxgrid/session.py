@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,10 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+_LOCAL: list[str] = []
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set.
 
-    The temporary folder is only for local runs; a cluster names its own in the session.
+    The temporary folder is only for local runs, one for the process, and removed at its end; a cluster names its own in the session.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -45,15 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
         return held
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="voxgrid-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "cut"))
-    return df.checkpoint(eager=True)
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="voxgrid-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return "file://" + _LOCAL[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -63,4 +63,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> int:
+    """Removes every staged table of the process; results that were built on them can't be read afterwards. Their number."""
+    n = len(_STAGED)
+    for spark, path in _STAGED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STAGED.clear()
+    return n

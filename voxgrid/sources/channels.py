@@ -55,7 +55,7 @@ class _DemoReader(DataSourceReader):
 
 #: Channel ids in their order; unknown ids are an error, unlisted ones sort last.
 REGISTRY: dict[str, type[DataSource]] = {"demo": DemoSource}
-ORDER = ("demo", "websearch", "websearch_zhihu", "websearch_tieba", "websearch_taptap", "weibo", "bilibili", "xiaohongshu")
+ORDER = ("demo", "bilibili", "websearch", "websearch_zhihu", "websearch_tieba", "websearch_taptap", "weibo", "xiaohongshu")
 
 
 def source(channel: str) -> type[DataSource]:
