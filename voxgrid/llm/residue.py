@@ -19,6 +19,8 @@ repetition is the sign, and nothing is gathered in one task.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +54,8 @@ _ZH_NOTICES = [
     r"页面(?:不存在|走丢|已?失效|已?被?删除|找不到)", r"访问的(?:页面|内容|网页)", r"秒后(?:自动)?(?:返回|跳转)", r"服务器(?:开小差|错误|繁忙|异常|内部)",
     r"系统(?:繁忙|维护|异常|错误)", r"稍[后候]再?(?:试|重试)", r"请稍[候等]", r"正在(?:加载|跳转|验证)", r"网络(?:连接)?(?:异常|错误|超时|不给力)",
     r"检查(?:您的)?网络", r"(?:没有|无)权限(?:查看|访问)", r"访问(?:过于)?频繁", r"完成验证", r"(?:不是|非)机器人", r"拖动滑块", r"验证码",
-    r"请(?:先)?登录", r"登录后(?:查看|继续|访问|可见)", r"(?:启用|开启|打开|支持|禁用了?)\s*(?:Java\s?Script|脚本|Cookies?)", r"浏览器(?:版本|不支持|过低)",
-    r"升级(?:您的)?(?:浏览器|后访问)", r"在(?:客户端|App|APP)内?打开", r"违反(?:规定|法规)", r"暂时?无法(?:查看|访问|显示)", r"(?:帖子|内容|文章)已?(?:被)?(?:作者|管理员)?(?:删除|下架)",
+    r"请(?:先)?登录", r"登录后(?:查看|继续|访问|可见)", r"(?:启用|开启|打开|支持|禁用了?)\s*(?i:Java\s?Script|脚本|Cookies?)", r"浏览器(?:版本|不支持|过低)",
+    r"升级(?:您的)?(?:浏览器|后访问)", r"在(?i:客户端|App)内?打开", r"违反(?:规定|法规)", r"暂时?无法(?:查看|访问|显示)", r"(?:帖子|内容|文章)已?(?:被)?(?:作者|管理员)?(?:删除|下架)",
     r"请求参数", r"(?:代码|错误码)\s*[:：]?\s*-?\d", r"服务(?:超时|不可用|异常)", r"(?:数据库|网关)(?:错误|超时|连接)",
     r"占位(?:文本|文字|内容)?", r"示例(?:文本|文字|内容)", r"(?:这里|此处)是?(?:正文|标题|内容)", r"(?:此处|这里)(?:输入|填写)", r"填写使用感受",
     r"待(?:补充|完善|填写)", r"补充(?:正文|内容)", r"(?:上线|发布)前(?:删除|替换|修改)", r"标题待定",
@@ -88,7 +90,7 @@ def _by_first(branches: list[str], buckets: int = 8) -> str:
     return "|".join(f"(?=[{p[0][0]}-{p[-1][0]}])(?:{'|'.join(p)})" for p in parts)
 
 
-NOTICE = rf"{_by_first(_ZH_NOTICES)}|(?=[A-Za-z])(?<![A-Za-z])(?:{_EN_NOTICE})"
+NOTICE = rf"{_by_first(_ZH_NOTICES)}|(?=[A-Za-z])(?<![A-Za-z])(?i:{_EN_NOTICE})"
 #: What pages put around their notices.
 CHROME = r"^(?:返回上一页|返回首页|刷新|重试|下载客户端|下载App|Go back|Home|Help|Terms|Retry|Reload|Refresh|Back|Home \| Help \| Terms|[-\d\s.:#|]*|Error \d+|HTTP \d+)$"
 #: Words of the usual filler passage.
@@ -98,7 +100,8 @@ LOREM = (
     "reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
     "culpa qui officia deserunt mollit anim id est laborum"
 )
-FILLER_WORDS = r"(?=[占示样文正内标测tsdx])(?:占位|示例|样例|文字|文本|正文|内容|标题|测试|text|test|sample|dummy|xxx)"
+FILLER = "占位 示例 样例 文字 文本 正文 内容 标题 测试 text test sample dummy xxx"
+FILLER_WORDS = f"(?:{FILLER.replace(' ', '|')})"
 #: Ends of sentences, and of the parts of a sentence. A dot inside a name is neither, nor is a mark of a slot's syntax.
 _SENTENCE = r"(?:[。！？；…\r\n]|(?<!&lt|&gt);|(?<!#REF|#VALUE|#DIV/0)!(?!--)|(?<!#NAME)\?)+|\.(?=\s|$)|\.{2,}"
 _PART = rf"[，,]|{_SENTENCE}"
@@ -168,7 +171,7 @@ FIELD_NAME = rf"^(?:(?:(?:{_FIELD})[\s_.-]*){{2,}}|姓名|昵称|收件人|变
 CODED = r"[{}<>%$|&=\\^]|^[^\p{L}\p{N}\s#!！?？~～。.…—-]{2}"
 SIGNED = r"^[^\p{L}\p{N}\s,，、'’.-]{1,4}\s*[\p{L}_][\p{L}\p{N}_. |-]*\s*[^\p{L}\p{N}\s,，、'’.-]{1,4}$"
 #: Places where a reader sees that a value is missing: a blank before a mark, two blanks in a line, empty brackets.
-HOLE = r"[\p{L}\p{N}] [,，。;；!！?？](?:\s|$)|[\p{L}\p{N},] {2,}[\p{L}\p{N}]|\(\s*\)|（\s*）|“\s*”|「\s*」|【\s*】|《\s*》|[\p{L}][:：]\s*(?:[,，。;；]|\n)"
+HOLE = r"(?=[ (（“「【《:：])(?:(?<=[\p{L}\p{N}]) [,，。;；!！?？](?:\s|$)|(?<=[\p{L}\p{N},]) {2,}[\p{L}\p{N}]|\(\s*\)|（\s*）|“\s*”|「\s*」|【\s*】|《\s*》|(?<=\p{L})[:：]\s*(?:[,，。;；]|\n))"
 #: Units of a template that fill their slot mostly with values of their own: records of a unit, on average.
 OWN_VALUES = 1.5
 #: A page repeated so often, in so many words of a system and none of a person's, is an error page.
@@ -266,55 +269,51 @@ def parts(texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{ids}, hole boolean, size int, u string")
 
 
-def induced(pieces: DataFrame, units: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(k, field) of the fields with residue in an induced slot; of the records of only (k), where it is given.
+def induced(pieces: DataFrame, units: DataFrame) -> DataFrame:
+    """(k, field) of the fields with residue in an induced slot.
 
     pieces: the units of the fields, as parts() gives them. units: (u, n), the distinct ones and how many there are.
 
     A blank counts where the reader sees the hole, or in a record that is nothing but template: two blank slots or more
     in half of its units, and for the rest units that other records hold as well.
     """
-    wanted = pieces if only is None else pieces.join(only, "k", "left_semi")
-    near = units
-    if only is not None:  # units that share no key with those of the wanted records can't belong to their frames
-        keys = _anchored(wanted.select("u").distinct()).select("at").distinct()
-        near = _anchored(units).join(keys, "at", "left_semi").select("u", "n").distinct()
-    held = staged(slots(near).join(units, "u"), "held")
-    rows = wanted.join(held, "u").groupBy("k", "field").agg(
+    held = staged(slots(units).join(units, "u"), "held")
+    rows = pieces.join(held, "u").groupBy("k", "field").agg(
         F.max(F.size(F.array_except("kinds", F.array(F.lit("blank")))) > 0).alias("full"), F.max("hole").alias("hole"), F.sum(F.array_contains("kinds", "blank").cast("int")).alias("blanks"), F.max("size").alias("size"),
     )
     sure = F.col("full") | ((F.col("blanks") > 0) & F.col("hole"))
     rows = staged(rows.where(sure | ((F.col("blanks") > 1) & (2 * F.col("blanks") >= F.col("size")))).withColumn("sure", sure), "blanks")
-    fixed = wanted.join(rows.where("not sure").select("k", "field"), ["k", "field"], "left_semi").join(units, "u").join(held.select("u", F.lit(True).alias("slot")), "u", "left")
+    fixed = pieces.join(rows.where("not sure").select("k", "field"), ["k", "field"], "left_semi").join(units, "u").join(held.select("u", F.lit(True).alias("slot")), "u", "left")
     fixed = fixed.groupBy("k", "field", "size").agg(F.count_if(F.col("slot") | (F.col("n") > 1)).alias("known")).where("known = size").select("k", "field")
     return rows.where("sure").select("k", "field").unionByName(fixed)
 
 
 def repeated_pages(texts: DataFrame) -> DataFrame:
-    """(k, field) of the fields of (k, field, text) that are a page which many repeat, in a system's words."""
-    page = F.trim(_plain(F.col("text")))
-    rows = texts.select("k", "field", F.xxhash64(page, F.length("text") > 0).alias("h1"), F.xxhash64(F.lit(1), page).alias("h2"), page.alias("page"))
+    """(k, field) of the fields of (k, field, text) that are a page which many repeat word for word, in a system's words."""
+    rows = texts.select("k", "field", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     many = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATED).select("h1", "h2")
-    words = F.size(F.array_distinct(F.regexp_extract_all("page", F.lit(f"({_SYSTEM})"), F.lit(1))))
-    rows = rows.join(many, ["h1", "h2"])
-    return rows.where((words >= SYSTEM_WORDS) & ~F.col("page").rlike(_PERSON)).select("k", "field")
+    page = _plain(F.col("text"))
+    words = F.size(F.array_distinct(F.regexp_extract_all(page, F.lit(f"({_SYSTEM})"), F.lit(1))))
+    return rows.join(many, ["h1", "h2"]).where((words >= SYSTEM_WORDS) & ~page.rlike(_PERSON)).select("k", "field")
 
 
-def evidence(df: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+def evidence(df: DataFrame, key: str, fields: list[str], bare: bool = False) -> DataFrame:
     """(key, field, evidence) of the fields of df that hold residue, filler, an error message or a notice.
 
     evidence: slot and page come from aligned records, filler, notice and syntax from the exact check of single ones.
-    only: the keys for which a verdict is wanted; it is the same as without, since frames and pages are counted over all rows.
+    bare: leave out slots that show as residue by alignment alone (blanks, names of fields, repeated pages).
     """
     texts = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     texts = texts.select("k", "x.field", "x.text").where(F.col("text").rlike(r"[^\s\p{Z}]"))
-    notice, chrome = f"(?i){NOTICE}", f"(?i){CHROME}"
+    notice, chrome = NOTICE, f"(?i){CHROME}"
     pieces = staged(parts(texts), "parts")
     units = staged(pieces.groupBy("u").agg(F.count("*").alias("n")), "alignable")
-    aligned = induced(pieces, units, None if only is None else only.select(F.col(key).alias("k"))).withColumn("evidence", F.lit("a slot")).unionByName(repeated_pages(texts).withColumn("evidence", F.lit("b page")))
+    aligned = [] if bare else [induced(pieces, units).withColumn("evidence", F.lit("a slot")), repeated_pages(texts).withColumn("evidence", F.lit("b page"))]
     # the exact check: most fields hold no sign of any of this, and patterns over the whole text spare them the cutting into units
-    lorem = F.col("text").rlike(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|incididunt|aliqua|nostrud|ullamco|commodo)\b")
-    texts = texts.where(F.col("text").rlike(notice) | F.col("text").rlike(SLOT) | lorem | F.col("text").rlike(f"(?i){FILLER_WORDS}") | F.col("text").rlike(r"(?i)<html|^\s*\{"))
+    low = F.lower("text")
+    holds = lambda words: functools.reduce(operator.or_, [F.contains(low, F.lit(w)) for w in words.split()])
+    lorem = holds("lorem ipsum dolor amet consectetur adipiscing incididunt aliqua nostrud ullamco commodo")
+    texts = texts.where(holds(FILLER) | lorem | F.contains(low, F.lit("<html")) | F.startswith(F.ltrim("text"), F.lit("{")) | F.col("text").rlike(notice) | F.col("text").rlike(SLOT))
     seen = texts.select("k", "field", "text", _units(F.col("text"), _SENTENCE).alias("ss"), _units(F.col("text"), _PART).alias("us"))
     page = F.col("text").rlike(r"(?is)^\s*<html\b.*</html>") | F.col("text").rlike("(?is)" + _ENVELOPE)
     repeated = F.col("text").rlike(r"(?s)^\s*(\S.{0,12}?\S\s{0,3})\1{3,}.{0,14}$") & F.col("text").rlike(f"(?i){FILLER_WORDS}")
@@ -352,14 +351,13 @@ def evidence(df: DataFrame, key: str, fields: list[str], only: DataFrame | None
     held = marks.join(frames.drop("raw"), "frame").join(filled, "frame", "left")
     by_others = F.coalesce((F.col("lo") != F.col("hi")) | (F.col("filled") & ~F.col("bare")), F.lit(False))
     held = held.where(by_others | F.expr("((n = 1 or whole >= 0.5) and strict and name <> '') or frame = '□'")).select("k", "field", F.when(by_others, "a slot").otherwise("e syntax").alias("evidence"))
-    found = aligned.unionByName(whole).unionByName(notices).unionByName(held).groupBy("k", "field").agg(F.min("evidence").alias("evidence"))
+    found = functools.reduce(DataFrame.unionByName, [*aligned, whole, notices, held]).groupBy("k", "field").agg(F.min("evidence").alias("evidence"))
     return found.select(F.col("k").alias(key), "field", F.substring("evidence", 3, 10).alias("evidence"))
 
 
-def flagged(df: DataFrame, key: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
-    """(key, field) of the fields of df, or of those of the keys of only, that hold residue, filler, an error message or a notice."""
-    got = evidence(df, key, fields, only).select(key, "field")
-    return got if only is None else got.join(only, key, "left_semi")
+def flagged(df: DataFrame, key: str, fields: list[str], bare: bool = False) -> DataFrame:
+    """(key, field) of the fields of df that hold residue, filler, an error message or a notice. bare: see evidence."""
+    return evidence(df, key, fields, bare).select(key, "field")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

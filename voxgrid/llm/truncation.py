@@ -15,7 +15,8 @@ Whether an end is complete is learned from the corpus: how often the last charac
 last of a clause wherever else they stand, by the longest context seen often enough. A writer's own dots
 after a complete end are none. Every distinct text has one vote in all statistics, so copies prove nothing.
 
-Defined results: null and blank texts and texts that are template residue are no cases; an item coded
+Defined results: null and blank texts and texts with template residue or notices are no cases (those whose only sign is a
+blank slot or a field's name aren't looked up among all records again); an item coded
 from a cut content (the same post and the same words) is one, whatever its own end; repeated rows are
 judged alike. All rows and whole texts count.
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 import unicodedata
 from collections.abc import Iterator
 
@@ -75,13 +77,18 @@ def _hashes(text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), text).alias(f"h{i}") for i in (1, 2)]
 
 
+def _holds(c: str, *signs: str) -> Column:
+    """Whether a text has one of the signs that a pattern needs: cheaper than the pattern."""
+    return functools.reduce(operator.or_, [F.contains(F.col(c), F.lit(x)) for x in signs])
+
+
 def ends(df: DataFrame) -> DataFrame:
     """df with what the end of its text looks like: broken, more, dots, base (the text before such marks), length and closed."""
     df = df.withColumn("t", F.expr(f"trim(trailing '{_BLANKS}' from text)")).where("t <> ''").withColumn("z", F.expr("right(t, 1)"))
-    df = df.withColumn("broken", F.col("t").rlike(_BROKEN)).withColumn("more", F.col("z").rlike(_MORE_LAST) & F.col("t").rlike(_MORE)).withColumn("dots", F.col("z").isin("…", ".", "。") & F.col("t").rlike(_DOTS))
+    df = df.withColumn("broken", _holds("t", "<", "&", "\ufffd") & F.col("t").rlike(_BROKEN)).withColumn("more", F.col("z").rlike(_MORE_LAST) & F.col("t").rlike(_MORE)).withColumn("dots", F.col("z").isin("…", ".", "。") & F.col("t").rlike(_DOTS))
     base = F.when(F.col("more"), F.regexp_replace("t", _MORE, "")).when(F.col("dots"), F.regexp_replace("t", _DOTS, "")).otherwise(F.col("t"))
     df = df.withColumn("base", base).withColumn("length", F.length("base")).withColumn("base", F.expr(f"trim(trailing '{_BLANKS}' from base)"))
-    closed = (F.col("base") == "") | F.expr("right(base, 1)").rlike(_CLOSED) | F.col("base").rlike(_CLOSED_WORD)
+    closed = (F.col("base") == "") | F.expr("right(base, 1)").rlike(_CLOSED) | (_holds("base", "#", "http", "www.", "@") & F.col("base").rlike(_CLOSED_WORD))
     return df.withColumn("closed", closed).drop("t", "z")
 
 
@@ -336,9 +343,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
     direct = staged(cuts(texts.select("src", "row_id", "post", "kind", "source", "text")), "cuts")
     posts = table(spark, sf_dir, "posts", "post_seq", "id", "content")
-    suspects = direct.where("kind = 'post'").select(F.col("post").alias("id")).distinct()
-    suspects = staged(posts.join(suspects, "id", "left_semi").select("post_seq"), "suspects")
-    residue = flagged(posts.select("post_seq", "content"), "post_seq", ["content"], suspects).select("post_seq")
+    residue = flagged(posts.select("post_seq", "content"), "post_seq", ["content"], bare=True).select("post_seq")
     residue = staged(posts.join(residue, "post_seq", "left_semi").select(F.col("id").alias("post"), F.lit("post").alias("kind")).distinct(), "residue")
     direct = direct.join(residue, ["post", "kind"], "left_anti")
     cut = direct.where("src = 'posts'").select(F.col("row_id").alias("post_seq")).distinct()
