@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxgrid.operators.timestamps import p2_found
-from voxgrid.plans import evaluation_queries, funnel_queries, summary_queries, text_queries  # noqa: F401
+from voxgrid.plans import evaluation_queries, funnel_queries, scope_queries, summary_queries, text_queries  # noqa: F401
 from voxgrid.plans.registry import ORACLE, QUERIES, query
 
 query()(p2_found)

@@ -122,7 +122,9 @@ def ngram_phrases(spark, d):
     return TK.phrases(staged(docs(spark, d), "tokens"))
 
 
-@query(_PHRASES + " select phrase, n, pmi, sentiment from o a where not exists (select 1 from o b where len(b.phrase) > len(a.phrase) and b.n >= a.n and contains(b.phrase, a.phrase)) order by n * (1 + pmi) desc, phrase limit 50")
+@query(_PHRASES + """, pc as (select n, phrase, unnest(range(1, len(phrase) + 1)) as i from o), pw as (select n, phrase, i, unnest(range(1, len(phrase))) as w from pc),
+  ps as (select substring(phrase, i, w) as sub, max(n) as most from pw where i + w - 1 <= len(phrase) group by 1)
+  select phrase, n, pmi, sentiment from o left join ps on sub = phrase where most is null or most < n order by n * (1 + pmi) desc, phrase limit 50""")
 def phrases_suppressed(spark, d):
     """The best phrases without fragments of longer ones."""
     return TK.suppressed(staged(TK.phrases(staged(docs(spark, d), "tokens")), "phrases")).select("phrase", "n", "pmi", "sentiment")
