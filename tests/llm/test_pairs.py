@@ -53,3 +53,17 @@ def test_nulls_repeats_and_empty(spark):
 def test_runs():
     codes, n = pairs._runs(np.array([5, 1, 5, 2, 1, 5]))
     assert codes.tolist() == [1, 2, 5] and n.tolist() == [2, 1, 3]
+
+
+def test_codes_in_blocks(monkeypatch):
+    """A record with more pairs than a run gives the same codes, a block at a time."""
+    import numpy as np
+
+    from voxgrid.llm import pairs
+
+    ids, offsets = np.array([3, 7, 8, 9, 11, 2, 5, *range(20, 60)], np.int64), np.array([0, 5, 7, 7, 47])
+    want = sorted((int(ids[i]) << 32) | int(ids[j]) for a, b in zip(offsets[:-1], offsets[1:]) for i in range(a, b) for j in range(i + 1, b))
+    for run in (2_000_000, 50, 1):
+        monkeypatch.setattr(pairs, "RUN", run)
+        got = list(pairs._codes(offsets, ids))
+        assert sorted(np.concatenate(got).tolist()) == want and max(map(len, got)) <= max(run, 40)

@@ -27,6 +27,8 @@ from voxgrid.session import staged, table
 RUN = 2_000_000
 #: Dictionaries up to this many items travel to the tasks as a whole; larger ones are joined.
 WHOLE_DICTIONARY = 50_000
+#: Of larger dictionaries, items in more than one of FEW records are hot: at most FEW times the mean number of items of a record.
+FEW = 2_000
 
 
 def record_key(*cols: str) -> list[Column]:
@@ -50,17 +52,24 @@ def _runs(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return codes[edge], n.astype(np.int64)
 
 
-def _codes(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The packed codes of all pairs of each list; ids ascend within a list."""
-    sizes, out = np.diff(offsets), []
-    for k in np.unique(sizes[sizes > 1]):
+def _codes(offsets: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """The packed codes of all pairs of each list, RUN at most at a time; ids ascend within a list."""
+    sizes = np.diff(offsets)
+    for k in np.unique(sizes[sizes > 1]).tolist():
         starts = offsets[:-1][sizes == k]
-        a, b = np.triu_indices(int(k), 1)
+        if k * (k - 1) // 2 > RUN:  # one record alone has more pairs than a run: a block of its first items after the other
+            step = max(1, RUN // k)
+            for at in starts:
+                m = ids[at : at + k]
+                for i in range(0, k - 1, step):
+                    a, b = np.nonzero(np.arange(k)[None] > np.arange(i, min(i + step, k - 1))[:, None])
+                    yield (m[a + i] << 32) | m[b]
+            continue
+        a, b = np.triu_indices(k, 1)
         step = max(1, RUN // len(a))
         for at in range(0, len(starts), step):
             m = ids[starts[at : at + step, None] + np.arange(k)]
-            out.append(((m[:, a] << 32) | m[:, b]).ravel())
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+            yield ((m[:, a] << 32) | m[:, b]).ravel()
 
 
 def _table(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -125,7 +134,7 @@ def pair_statistics(sets: DataFrame, least: int = 1, share: int | None = None) -
                 row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())[keep]
                 got = ids.drop_null().to_numpy().astype(np.int64)
                 at = np.lexsort((got, row))
-                yield _codes(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(lists))))), got[at])
+                yield from _codes(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(lists))))), got[at])
 
         codes = sets.mapInArrow(lambda bs: _counted(blocks(bs)), "code long, n long")
         ids = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(known)], "id long, item string, n long")
@@ -133,12 +142,15 @@ def pair_statistics(sets: DataFrame, least: int = 1, share: int | None = None) -
         ranked = counts.orderBy("item").rdd.zipWithIndex().map(lambda x: (x[1], x[0].item, x[0].n))
         ids = staged(spark.createDataFrame(ranked, "id long, item string, n long"), "ids")
         rows = sets.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode("items").alias("item"))
-        lists = rows.join(ids.select("id", "item"), "item").groupBy("r").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        # an item in more than one record of FEW is hot; there are few of them, and they travel to the tasks
+        hot = ids.where(F.col("n") * FEW > n_records).select("id", "item")
+        cold = rows.join(F.broadcast(hot), "item", "left_anti").join(ids.where(F.col("n") * FEW <= n_records).select("id", "item"), "item")
+        lists = rows.join(F.broadcast(hot), "item").unionByName(cold).groupBy("r").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             for b in batches:
                 lens = pc.list_value_length(b.column(0)).to_numpy()
-                yield _codes(np.concatenate(([0], np.cumsum(lens))), b.column(0).flatten().to_numpy())
+                yield from _codes(np.concatenate(([0], np.cumsum(lens))), b.column(0).flatten().to_numpy())
 
         codes = lists.select("ids").mapInArrow(lambda bs: _counted(blocks(bs)), "code long, n long")
     merged = codes.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, "code long, n long")
