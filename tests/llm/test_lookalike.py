@@ -53,3 +53,16 @@ def test_nulls_in_a_frame(spark):
     df = spark.createDataFrame([(1, None), (2, "Ａ"), (3, "")], "k int, t string")
     assert sorted((r.k, r.form) for r in with_form(df, "t").collect()) == [(1, None), (2, "A"), (3, "")]
     assert with_form(df.limit(0), "t").count() == 0
+
+
+def test_classes(spark):
+    """Classes agree with the pairs: two rows of a class with different texts are a pair, and no others are."""
+    from voxgrid.llm.lookalike import classes_of, pairs_of
+
+    texts = ["Ａ款 很好", "A款 很好", "A款\u3000很好", "A款 很好", "B款", None, "", "", "Ｂ款"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, t string, rows string")
+    got = {r.row_id: (r.class_id, r.rows, r.variants) for r in classes_of(df, "id", "t", "s").collect()}
+    assert got == {0: (0, 4, 3), 1: (0, 4, 3), 2: (0, 4, 3), 3: (0, 4, 3), 4: (4, 2, 2), 8: (4, 2, 2), 6: (6, 2, 1), 7: (6, 2, 1)}
+    pairs = {(r.row_a, r.row_b) for r in pairs_of(df, "id", "t", "s").collect()}
+    assert pairs == {(a, b) for a in got for b in got if a < b and got[a][0] == got[b][0] and texts[a] != texts[b]}
+    assert classes_of(df.limit(0), "id", "t", "s").count() == 0

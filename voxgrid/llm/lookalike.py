@@ -195,6 +195,19 @@ def pairs_of(df: DataFrame, key: str, text: str, src: str) -> DataFrame:
     return found.select(F.lit(src).alias("src"), F.least("id_a", "id_b").alias("row_a"), F.greatest("id_a", "id_b").alias("row_b"))
 
 
+def classes_of(df: DataFrame, key: str, text: str, src: str) -> DataFrame:
+    """(src, row_id, class_id, rows, variants) of the rows of df with a text: rows that look the same are one class, named by its least row.
+
+    Linear in the rows, where pairs of a class grow with its square: copies aren't expanded.
+    """
+    rows = with_form(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where("t is not null"), "t")
+    rows = rows.select("id", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), "form").alias("f2"), F.xxhash64("t").alias("v1"), F.xxhash64(F.lit(7), "t").alias("v2"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("s"))
+    texts = rows.groupBy("f1", "f2", "v1", "v2").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = texts.groupBy("f1", "f2").agg(F.min("least").alias("class_id"), F.sum("n").alias("rows"), F.count("*").alias("variants"))
+    classes = classes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(classes, ["f1", "f2", "s"]).select(F.lit(src).alias("src"), F.col("id").alias("row_id"), "class_id", "rows", "variants")
+
+
 FIELDS = (("posts", "post_seq", "title"), ("coded_items", "item_seq", "text"))
 
 
@@ -211,3 +224,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of one table whose titles or texts differ as strings but look the same."""
     a, b = (pairs_of(table(spark, sf_dir, name, key, text), key, text, name) for name, key, text in FIELDS)
     return a.unionByName(b)
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title of posts and text of coded items with its class of rows that look the same, its size and its different spellings."""
+    a, b = (classes_of(table(spark, sf_dir, name, key, text), key, text, name) for name, key, text in FIELDS)
+    return a.unionByName(b)
