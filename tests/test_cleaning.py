@@ -88,3 +88,14 @@ def test_comments(spark):
     df = spark.createDataFrame(rows, "comment_seq long, id string, post_id string, author string, text string, likes long, is_reply boolean, reply_to string, depth int")
     got = sorted((r.place, r.part, r.comment_seq) for r in K.flatten_comments(df).collect())
     assert got == [(1, 0, 2), (2, 0, 1), (2, 1, 5), (3, 0, 6), (4, 0, 7)]
+
+
+def test_imbalance_is_an_error(spark):
+    import pytest
+
+    from voxgrid.operators.cleaning import balanced
+
+    good = spark.createDataFrame([(True,), (False,)], "kept boolean")
+    assert balanced(good).first().input == 2
+    with pytest.raises(ValueError):
+        balanced(good.unionByName(spark.createDataFrame([(None,)], "kept boolean")))

@@ -136,6 +136,15 @@ def balance(cleaned: DataFrame) -> DataFrame:
     return cleaned.agg(F.count("*").alias("input"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped")).withColumn("ok", F.col("input") == F.col("kept") + F.col("dropped"))
 
 
+def balanced(cleaned: DataFrame) -> DataFrame:
+    """The balance of a cleaned set; ValueError where kept and dropped don't add up to the input."""
+    got = balance(cleaned)
+    row = got.first()
+    if not row.ok:
+        raise ValueError(f"{row.input} rows in, {row.kept} kept, {row.dropped} dropped")
+    return got
+
+
 def reason_counts(cleaned: DataFrame) -> DataFrame:
     """How often each reason dropped a post, by kind."""
     return cleaned.where("not kept").select(F.explode("reasons").alias("reason"), "kind").groupBy("reason", "kind").agg(F.count("*").alias("n"))

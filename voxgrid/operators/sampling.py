@@ -34,9 +34,12 @@ def hold_out(df: DataFrame, strata: str, id: str, total: int, seed: int | None =
     sizes = df.groupBy(F.col(strata).alias("key")).agg(F.count("*").alias("size"))
     quota = S.largest_remainder(sizes, "size", total, cap="size").select("key", "quota")
     order = [F.col(id)] if seed is None else [F.xxhash64(F.lit(seed), F.col(id)), F.col(id)]
-    rows = df.withColumn("__k", F.row_number().over(W.partitionBy(strata).orderBy(*order))).join(quota, F.col(strata).eqNullSafe(F.col("key")))
-    pick = F.col("__k") <= F.col("quota")
-    clean = lambda x: x.drop("__k", "key", "quota")
+    # no stratum gives more than total rows: a limit that every partition applies before anything is shuffled
+    ranked = df.select(F.col(strata).alias("key"), F.struct(*order).alias("__o")).withColumn("__k", F.row_number().over(W.partitionBy("key").orderBy("__o"))).where(F.col("__k") <= total)
+    last = ranked.join(quota, ranked["key"].eqNullSafe(quota["key"])).where(F.col("__k") <= F.col("quota")).groupBy(ranked["key"].alias("__s")).agg(F.max("__o").alias("__last"))
+    rows = df.withColumn("__o", F.struct(*order)).join(last, F.col(strata).eqNullSafe(F.col("__s")), "left")
+    pick = F.coalesce(F.col("__o") <= F.col("__last"), F.lit(False))
+    clean = lambda x: x.drop("__o", "__s", "__last")
     return clean(rows.where(pick)), clean(rows.where(~pick))
 
 
@@ -82,22 +85,22 @@ def quota_sample(rows: list[dict], quotas: dict[str, dict[str, int]], total: int
     need = {f: dict(v) for f, v in quotas.items()}
     count = {f: {v: sum(r.get(f) == v for r in rows) for v in q} for f, q in quotas.items()}
     taken: list[dict] = []
-    left = sorted(rows, key=lambda r: r["id"])
+    left = dict(enumerate(sorted(rows, key=lambda r: r["id"])))
 
-    def take(r: dict) -> None:
+    def take(at: int) -> None:
+        r = left.pop(at)
         taken.append(r)
-        left.remove(r)
         for f, q in need.items():
             if r.get(f) in q:
                 q[r[f]] -= 1
 
     for f, v in sorted(((f, v) for f in need for v in need[f]), key=lambda x: (count[x[0]][x[1]] - quotas[x[0]][x[1]], x)):
-        for r in [r for r in left if r.get(f) == v]:
+        for at in [at for at, r in left.items() if r.get(f) == v]:
             if need[f][v] <= 0 or len(taken) >= total:
                 break
-            take(r)
-    for r in list(left):
+            take(at)
+    for at in list(left):
         if len(taken) >= total:
             break
-        take(r)
+        take(at)
     return taken
