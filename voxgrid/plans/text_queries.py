@@ -136,7 +136,12 @@ def phrase_topics(spark, d):
     return TK.topics(TK.phrases(staged(docs(spark, d), "tokens")))
 
 
-@query()
+_EVERY = DOCS.replace(" where not coalesce(ad_flag, false)", "")
+
+
+@query(f"""with x as (select d.tokens, list_distinct(list_filter(coalesce(i.dimensions, []), lambda v: v is not null and v <> '')) as dims from {_EVERY} d join coded_items i on i.item_seq = d.doc),
+  w as (select dims, unnest(list_distinct(tokens)) as word from x), p as (select word, unnest(dims) as dim from w), g as (select word, dim, count(*) as n from p group by 1, 2)
+  select word, dim, n from (select *, row_number() over (partition by word order by n desc, dim) as k from g) where k = 1""")
 def dominant_dimension(spark, d):
     """The aspect that most items of a token mention."""
     i = table(spark, d, "coded_items", "item_seq", "text", "dimensions")
