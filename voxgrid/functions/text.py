@@ -22,6 +22,10 @@ from voxgrid import config as C
 
 URL = r"https?://[^\s，。！？、（）()<>\"']+|www\.[^\s，。！？、（）()<>\"']+"
 MENTION = r"(?U)@[\w\-]+"
+#: Letters, marks and digits since Unicode 14, which Java 17 doesn't know; rare Han characters among them.
+NEWER = "870-887 889-88E 898-89F 8B5-8B5 8C8-8D2 C3C-C3C C5D-C5D CDD-CDD CF3-CF3 ECE-ECE 170D-170D 1715-1715 171F-171F 180F-180F 1AC1-1ACE 1B4C-1B4C 1DFA-1DFA 2C2F-2C2F 2C5F-2C5F 9FFD-9FFF A7C0-A7C1 A7D0-A7D1 A7D3-A7D3 A7D5-A7D9 A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 10780-10785 10787-107B0 107B2-107BA 10EFD-10EFF 10F70-10F85 11070-11075 110C2-110C2 1123F-11241 11740-11746 11AB0-11ABF 11F00-11F10 11F12-11F3A 11F3E-11F42 11F50-11F59 12F90-12FF0 1342F-1342F 13440-13455 16A70-16ABE 16AC0-16AC9 1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132-1B132 1B155-1B155 1CF00-1CF2D 1CF30-1CF46 1D2C0-1D2D3 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E08F-1E08F 1E290-1E2AE 1E4D0-1E4F9 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 31350-323AF"
+#: White space and word characters of clean_text, as its SQL has them: (?U)\s lacks U+001C to U+001F and holds U+000B; (?U)\w lacks ① and ², and holds joiners and Ⓐ.
+BLANK, WORD = r"\t\n\f\r \p{Z}\x{85}\x{1C}-\x{1F}", r"\p{L}\p{N}\p{M}" + re.sub(r"\w+", r"\\x{\g<0>}", NEWER).replace(" ", "")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SPACED_EMAIL = r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+"
 MOBILE, IDENTITY = r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])"
@@ -60,9 +64,10 @@ def collapse_marks(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Tags, addresses and mentions as spaces, repeated marks as one, white space squeezed; a text of noise only is empty."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), URL, " "), MENTION, " ")
-    t = squeeze(collapse_marks(t))
-    return F.when(t.rlike(r"(?U)^[\W_]*$"), "").otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), URL.replace(r"\s", r"\t\n\f\r "), " ")
+    t = collapse_marks(F.regexp_replace(t, rf"@[{WORD}\p{{Pc}}\-]+", " "))
+    t = F.trim(F.regexp_replace(t, f"[{BLANK}]+", " "))
+    return F.regexp_replace(t, f"^[^{WORD}]*+$", "")
 
 
 def compact(c: Column) -> Column:
